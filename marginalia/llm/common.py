@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,3 +194,49 @@ def shingles_of(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarra
     same = rows[:m] == rows[k - 1 :]
     at = np.flatnonzero(same)
     return mix(out[at]), rows[at], at
+
+
+# --- arrays in the shared folder ------------------------------------------------------------------
+
+
+def write_array(folder: str, name: str, data: bytes) -> None:
+    """Write a file whole or not at all: a task that is run again replaces it with the same bytes."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    part = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, f"{path}/{name}")
+
+
+def map_array(folder: str, name: str, dtype) -> np.ndarray:
+    """A file of the shared folder as a memory-mapped array. From a store without local paths it is first copied
+    to a file of the worker's own that has no name any more and goes with the mapping."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    if isinstance(fs, pafs.LocalFileSystem):
+        where = f"{path}/{name}"
+        return np.memmap(where, dtype, "r") if os.path.getsize(where) else np.zeros(0, dtype)
+    with tempfile.TemporaryFile() as own, fs.open_input_stream(f"{path}/{name}") as src:
+        while block := src.read(1 << 24):
+            own.write(block)
+        own.flush()
+        return np.memmap(own, dtype, "r") if own.tell() else np.zeros(0, dtype)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, byte plane by byte plane, which a shuffle's compression makes small."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def added_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys, and the sums of each value over equal keys."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)

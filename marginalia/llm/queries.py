@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, media, mixing, secrets, tokens, toxicity
+from . import decontamination, jaccard, kneser_ney, media, mixing, secrets, tokens, toxicity
 from .common import crc_mod, table
 
 
@@ -31,6 +31,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.fit(documents.where(~kneser_ney.held_out()))
+    return kneser_ney.scored(documents.withColumn("held_out", kneser_ney.held_out()), model)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -41,5 +47,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents, model, keep_text=False).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op4_token_counts, op5_secret_scans, op7_media_columns, op9_mixing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op4_token_counts, op5_secret_scans, op7_media_columns, op8_lm_scoring, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {"op1_decontamination": decontamination.SQL}
