@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, kneser_ney, media, mixing, secrets, tokens, toxicity
+from . import decontamination, jaccard, kneser_ney, media, mixing, passages, secrets, tokens, toxicity
 from .common import crc_mod, table
 
 
@@ -19,6 +19,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
@@ -47,5 +51,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents, model, keep_text=False).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op4_token_counts, op5_secret_scans, op7_media_columns, op8_lm_scoring, op9_mixing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_substring_dedup, op4_token_counts, op5_secret_scans, op7_media_columns, op8_lm_scoring, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {"op1_decontamination": decontamination.SQL}
