@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, kneser_ney, media, mixing, passages, secrets, tokens, toxicity
+from . import decontamination, html_text, jaccard, kneser_ney, media, mixing, passages, secrets, tokens, toxicity
 from .common import crc_mod, table
 
 
@@ -31,6 +31,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents, model, keep_text=False).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_substring_dedup, op4_token_counts, op5_secret_scans, op7_media_columns, op8_lm_scoring, op9_mixing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_substring_dedup, op4_token_counts, op5_secret_scans, op6_html_extraction, op7_media_columns, op8_lm_scoring, op9_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {"op1_decontamination": decontamination.SQL}
