@@ -15,18 +15,22 @@ from .common import written
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, class): the least node of each node's component; nodes without an edge to another are absent. edges: long a, b."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    last = None
+    last = _state(e)
     for _ in range(rounds):
         # large star: each node's larger neighbours move to the least of its neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: each node's smaller neighbours and itself move to the least of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = written(small, name)
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
-        if now == last:
+        now = _state(e)
+        if now == last:  # stars already
             return e.select(F.col("u").alias("node"), F.col("v").alias("class")).union(e.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
         last = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first())

@@ -95,24 +95,16 @@ def _set_key(s: np.ndarray) -> str:
         return f"{int(mix(s).sum()):x}.{int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()):x}.{len(s):x}" if len(s) else ""
 
 
-def _forest(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
-    """For each of n things the least one of its component, given (i, its neighbours)."""
-    root = np.arange(n)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return int(x)
-
-    for i, js in pairs:
-        a = find(i)
-        for j in js:
-            b = find(int(j))
-            if a != b:
-                a, b = min(a, b), max(a, b)
-                root[b] = a
-    return np.array([find(i) for i in range(n)], np.int64)
+class _Forest:
+    """Component labels of n things, merged many at a time; a label is the component's least thing."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def merge(self, i: int, others: np.ndarray) -> None:
+        labels = np.unique(self.label[np.append(others, i)])
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -125,39 +117,55 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.nd
     tokens, owner = tokens[order], owner[order]
     for s in sets:
         a, b = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
-        n = b - a
-        total = int(n.sum())
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total) if total else np.zeros(0, np.int64)
-        yield np.bincount(owner[at], minlength=len(others))
+        yield np.bincount(owner[_spread(a, b)], minlength=len(others))
 
 
-def _estimates(sketches: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, later things that may be similar): by the share of common hashes among the least SKETCH of the union."""
-    last = np.array([s[-1] if len(s) == SKETCH else np.uint64(2**64 - 1) for s in sketches], np.uint64)
-    for i, both in enumerate(overlaps(sketches, sketches)):
-        js = np.flatnonzero(both[i + 1 :] >= 1) + i + 1
-        if not len(js):
-            continue
-        ok = np.minimum(sizes[js], sizes[i]) >= LOOSE * np.maximum(sizes[js], sizes[i])
-        js = js[ok]
-        if not len(js):
-            continue
-        # hashes below both sketches' ends are known on both sides: |A and B| / |A or B| among them
-        good = []
-        for j in js:
-            end = min(last[i], last[j])
-            a, b = np.searchsorted(sketches[i], end, "right"), np.searchsorted(sketches[j], end, "right")
-            common = both[j] if end == 2**64 - 1 else len(np.intersect1d(sketches[i][:a], sketches[j][:b], assume_unique=True))
-            if common >= LOOSE * (a + b - common):
-                good.append(j)
-        if good:
-            yield i, np.array(good)
+def _spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges a[i]..b[i]."""
+    n = b - a
+    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def _bucket_edges(ids: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    root = _forest(len(ids), _estimates(sketches, sizes))
-    own = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[own], ids[root[own]]
+    """A spanning forest of the pairs whose estimated similarity is LOOSE or more.
+
+    The estimate is the share of common hashes below the ends of both sketches, where both sides are known; it is exact
+    for sets no larger than a sketch. A thing is only compared with later things that are not yet in its component.
+    """
+    n, top = len(ids), np.uint64(2**64 - 1)
+    last = np.array([s[-1] if len(s) == SKETCH else top for s in sketches], np.uint64)
+    held = np.array([len(s) for s in sketches])
+    tokens, owner = np.concatenate(sketches), np.repeat(np.arange(n), held)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    padded = None
+    forest = _Forest(n)
+    for i in range(n - 1):
+        open_ = forest.label[i + 1 :] != forest.label[i]
+        if not open_.any():
+            continue
+        a, b = np.searchsorted(tokens, sketches[i], "left"), np.searchsorted(tokens, sketches[i], "right")
+        if (b - a).max() < 2:
+            continue
+        both = np.bincount(owner[_spread(a, b)], minlength=n)[i + 1 :]
+        js = np.flatnonzero(open_ & (both > 0) & (np.minimum(sizes[i + 1 :], sizes[i]) >= LOOSE * np.maximum(sizes[i + 1 :], sizes[i]))) + i + 1
+        if not len(js):
+            continue
+        mine = np.searchsorted(sketches[i], last[js], "right")
+        theirs = held[js].copy()
+        longer = last[js] > last[i]
+        if longer.any():
+            if padded is None:
+                padded = np.full((n, SKETCH), top, np.uint64)
+                for x, s in enumerate(sketches):
+                    padded[x, : len(s)] = s
+            theirs[longer] = (padded[js[longer]] <= last[i]).sum(1)
+        common = both[js - i - 1]
+        js = js[common >= LOOSE * (mine + theirs - common)]
+        if len(js):
+            forest.merge(i, js)
+    own = np.flatnonzero(forest.label != np.arange(n))
+    return ids[own], ids[forest.label[own]]
 
 
 def _brute(rows: DataFrame) -> DataFrame:
@@ -195,7 +203,7 @@ def candidate_edges(nodes: DataFrame, texts: DataFrame, runs: int, threshold: fl
     spark = nodes.sparkSession
     found = None
     rows = nodes.select("doc_id", F.posexplode("chosen").alias("run", "keys")).select("doc_id", "run", F.explode("keys").alias("t"))
-    rows = rows.select("doc_id", "run", F.xxhash64("run", "t").alias("key")).distinct()
+    rows = rows.select("doc_id", "run", F.xxhash64("run", "t").alias("key"))
     for level in range(1, depth + 1):
         rows = written(rows, f"paths{level}")
         counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -274,7 +282,7 @@ def _verify(members: DataFrame, texts: DataFrame, threshold: float, k: int, bloc
             a, b = ([np.frombuffer(x[6], np.uint64) for x in side] for side in (left, right))
             na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
             ca, cb = np.array([x[5] for x in left], np.int64), np.array([x[5] for x in right], np.int64)
-            links, near = np.zeros(len(both), np.int64), []
+            links, forest = np.zeros(len(both), np.int64), _Forest(len(both))
             for at, common in enumerate(overlaps(a, b)):
                 ok = (common >= threshold * (na[at] + nb - common) - 1e-9) & (common > 0)
                 if i == j:
@@ -285,13 +293,12 @@ def _verify(members: DataFrame, texts: DataFrame, threshold: float, k: int, bloc
                     links[len(left) + hits] += ca[at]
                     hits = hits + len(left)
                 if len(hits):
-                    near.append((at, hits))
-            root = _forest(len(both), iter(near))
+                    forest.merge(at, hits)
             for at, x in enumerate(both):
                 if links[at]:
                     out[0].append(x[4])
                     out[1].append(int(links[at]))
-                    out[2].append(both[root[at]][4])
+                    out[2].append(both[forest.label[at]][4])
 
         def flush() -> pa.RecordBatch:
             got = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "links", "other"])
