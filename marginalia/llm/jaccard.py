@@ -34,8 +34,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.995
 BUCKET, DEPTH, SKETCH = 1024, 3, 128
 #: Estimated similarity from which a pair is a candidate: four standard deviations of a sketch below the threshold.
 LOOSE = 0.66
-#: Sets in a block of the exact step.
-BLOCK = 512
+#: Sets, and shingles of sets, in a block of the exact step; a larger set stands alone.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 _RUNS = [mix(np.array([0xA076_1D64_78BD_642F + 977 * i], np.uint64))[0] for i in range(4096)]
 
 
@@ -199,11 +199,11 @@ def _brute(rows: DataFrame) -> DataFrame:
 
 
 def candidate_edges(nodes: DataFrame, texts: DataFrame, runs: int, threshold: float = THRESHOLD, k: int = SHINGLE, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """Spanning edges between candidate sets. nodes: written, one row a distinct set; texts: (doc_id, text)."""
+    """Spanning edges between candidate sets. nodes: the rows of each distinct set's least document; texts: (doc_id, text)."""
     spark = nodes.sparkSession
     found = None
     rows = nodes.select("doc_id", F.posexplode("chosen").alias("run", "keys")).select("doc_id", "run", F.explode("keys").alias("t"))
-    rows = rows.select("doc_id", "run", F.xxhash64("run", "t").alias("key"))
+    rows = rows.select("doc_id", "run", F.xxhash64("run", "t").alias("key")).distinct()
     for level in range(1, depth + 1):
         rows = written(rows, f"paths{level}")
         counts = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -256,8 +256,8 @@ def _verify(members: DataFrame, texts: DataFrame, threshold: float, k: int, bloc
             made = pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:5], pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "class", "blocks", "copies", "set"])
             yield made.filter(right)
 
-    sizes = members.groupBy("class").agg(F.count("*").alias("c"))
-    sized = members.join(sizes, "class").select("doc_id", "class", F.ceil(F.col("c") / F.lit(block)).cast("int").alias("blocks"), "copies", "set_key")
+    sizes = members.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    sized = members.join(sizes, "class").select("doc_id", "class", "blocks", "copies", "set_key")
     sets = sized.join(texts, "doc_id").select("doc_id", "text", "class", "blocks", "copies", "set_key").mapInArrow(to_sets, "doc_id long, class long, blocks int, copies long, set binary")
     sets = sets.dropDuplicates(["doc_id"])  # rows that repeat a doc_id
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -326,10 +326,9 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = R
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     every = written(_nodes(texts, runs, threshold, k), "sets")
     keys = every.groupBy("doc_id").agg(F.max(F.struct("n", "set_key")).alias("s")).select("doc_id", "s.n", "s.set_key")
-    groups = keys.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    groups = keys.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").cast("long").alias("n"))
     groups = written(groups, "groups")
-    chosen = every.join(groups.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"])
-    nodes = written(chosen.select("doc_id", "n", "sketch", "chosen"), "nodes")
+    nodes = every.join(groups.select("doc_id", "set_key"), ["doc_id", "set_key"], "left_semi")
     edges = candidate_edges(nodes, texts, runs, threshold, k, bucket, depth)
     loose = written(components(edges).withColumnRenamed("node", "doc_id").join(groups, "doc_id"), "loose")
     verified = written(_verify(loose, texts.join(groups.select("doc_id"), "doc_id", "left_semi"), threshold, k, block), "verified")
