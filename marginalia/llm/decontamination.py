@@ -45,8 +45,9 @@ def windows_of(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 def prefixed(windows: DataFrame, words: DataFrame) -> DataFrame:
     """windows with token (the window's rarest word over all documents; ties: the first in text order) and off (where it first stands in the window)."""
     vocabulary = windows.select(F.explode("win").alias("token")).distinct()
-    seen = words.select(F.explode("w").alias("token")).join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
-    counts = vocabulary.join(seen, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+    bitmap = _bitmap(vocabulary)  # most other words go before the shuffle, and the rest are added up in each task
+    said = words.select(F.explode(F.filter("w", lambda w: _on(bitmap, w))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = vocabulary.join(said, "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
     distinct = windows.select("win").distinct()
     ranked = distinct.select("win", F.explode(F.array_distinct("win")).alias("token")).join(counts, "token")
     rarest = ranked.groupBy("win").agg(F.min(F.struct("n", "token")).alias("r")).select("win", F.col("r.token").alias("token"))
@@ -57,21 +58,30 @@ def _slot(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
+def _bitmap(tokens: DataFrame) -> Column:
+    """A literal with one byte for each slot, 1 where a token falls."""
+    on = bytearray(SLOTS)
+    for s in tokens.select(_slot(F.col("token")).alias("s")).distinct().agg(F.collect_list("s")).first()[0]:  # SLOTS numbers at most
+        on[s] = 1
+    return F.lit(bytes(on))
+
+
+def _on(bitmap: Column, word: Column) -> Column:
+    """Whether a word's slot is on: substring() of a binary literal takes constant time."""
+    return F.substring(bitmap, _slot(word) + 1, 1) == F.lit(b"\x01")
+
+
 def marked(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key (hash of the text)."""
     words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
     windows = written(prefixed(windows_of(benchmark, size), words), "windows")
-    bits = windows.select(_slot(F.col("token")).alias("s")).distinct().agg(F.collect_list("s")).first()[0]  # SLOTS numbers at most
-    on = bytearray(SLOTS)
-    for s in bits:
-        on[s] = 1
-    bitmap = F.lit(bytes(on))  # one byte a slot: substring of a binary literal is a constant-time lookup
+    bitmap = _bitmap(windows)
     reach = size - 1
 
     def candidate(word: Column, i: Column) -> Column:
         start = F.greatest(i + 1 - reach, F.lit(1))
         near = F.struct(i.alias("at"), (i + 1 - start).alias("lead"), F.slice("w", start, i + 1 + reach - start + 1).alias("near"))
-        return F.when(F.substring(bitmap, _slot(word) + 1, 1) == F.lit(b"\x01"), near)
+        return F.when(_on(bitmap, word), near)
 
     offered = words.select("doc_id", "text_key", F.size("w").alias("n_words"), F.array_compact(F.transform("w", candidate)).alias("c"))
     row = F.explode(F.array_append("c", F.lit(None))).alias("c")  # the null row stands for the document itself
