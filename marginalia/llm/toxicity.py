@@ -32,7 +32,9 @@ SAMPLE_ROWS = 12_000
 #: Characters of a window, about; windows end at a word's end.
 WINDOW = 72
 #: Lengths of word beginnings that may mark toxic text by themselves, and the evidence that a word or beginning needs.
-STEMS, MARKED = (5, 6, 7, 8), 16.0
+STEMS, MARKED = (3, 4, 5, 6, 7, 8), 16.0
+#: Share of toxic texts, and number of them, that a marking word or beginning occurs in at least: copies of a few texts mark nothing.
+COMMON_SHARE, COMMON_TEXTS = 0.03, 4
 _TO_LOWER = {i: i + 32 for i in range(65, 91)}
 _WORDS = re.compile(r"[^\W\d_]+")
 _WINDOW = re.compile(r"\S(?:.{%d}\S*|.+)" % WINDOW, re.S)
@@ -51,7 +53,7 @@ class Model:
     weights: tuple[float, ...]
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=16, search_log=6, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=17, hash_log=16, search_log=9, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         return tuple(zstandard.ZstdCompressor(compression_params=how, dict_data=_dictionary(d, how)) for d in (self.toxic, self.ordinary))
 
     def distances(self, compressors, text: str) -> np.ndarray:
@@ -87,23 +89,45 @@ def _surprise(a: int, b: int, n0: int, n1: int) -> float:
     return out
 
 
-def train_dictionaries(texts: list[str], toxic: list[int], size: int = 16_000) -> tuple[bytes, bytes]:
-    """Raw-content dictionaries (toxic, ordinary). A word is toxic text's own if far more of its texts hold it."""
-    n, whole = Counter(toxic), set()
-    df: dict[str, list[int]] = {}
-    for text, label in zip(texts, toxic, strict=True):
-        seen = set(_WORDS.findall(text.translate(_TO_LOWER)))
-        for w in seen | {w[:k] for w in seen for k in STEMS if k < len(w)}:
-            df.setdefault(w, [0, 0])[label] += 1
-        whole.update(seen)
+class Counts:
+    """In how many texts of each class each word, and each word beginning, occurs."""
+
+    def __init__(self, texts: list[str] = (), toxic: list[int] = ()):
+        self.texts, self.words, self.stems = [0, 0], (Counter(), Counter()), (Counter(), Counter())
+        for text, label in zip(texts, toxic, strict=True):
+            seen = set(_WORDS.findall(text.translate(_TO_LOWER)))
+            self.texts[label] += 1
+            self.words[label].update(seen)
+            self.stems[label].update({w[:k] for w in seen for k in STEMS if k < len(w)} - seen)
+
+    def plus(self, others: list[Counts]) -> Counts:
+        for o in others:
+            for c in (0, 1):
+                self.texts[c] += o.texts[c]
+                self.words[c].update(o.words[c])
+                self.stems[c].update(o.stems[c])
+        return self
+
+
+def train_dictionaries(counts: Counts, size: int = 16_000) -> tuple[bytes, bytes]:
+    """Raw-content dictionaries (toxic, ordinary). A word or beginning is toxic text's own if far more of its texts hold it."""
+    n, whole = counts.texts, counts.words[0].keys() | counts.words[1].keys()
+    df = {w: (counts.words[0][w] + counts.stems[0][w], counts.words[1][w] + counts.stems[1][w]) for w in whole | counts.stems[1].keys()}
     own, common = [], []
     for w, (a, b) in df.items():
-        if b / max(1, n[1]) > 4 * a / max(1, n[0]) and _surprise(a, b, n[0], n[1]) > MARKED:
+        if b >= max(COMMON_TEXTS, COMMON_SHARE * n[1]) and b / max(1, n[1]) > 4 * a / max(1, n[0]) and _surprise(a, b, n[0], n[1]) > MARKED:
             own.append((_surprise(a, b, n[0], n[1]), w))
         elif a >= 3 and w in whole:
             common.append((a, w))
-    stems = {w for _, w in own}
-    own = [(g, w) for g, w in own if not any(w[:k] in stems for k in STEMS if k < len(w))]
+    # of strings that begin alike the one with most evidence, so that marks hold no ordinary word endings
+    own.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
+    best, kept, begun = [], set(), set()
+    for g, w in own:
+        if w not in begun and not any(w[:k] in kept for k in range(3, len(w))):
+            best.append((g, w))
+            kept.add(w)
+            begun.update(w[:k] for k in range(1, len(w)))
+    own = best + [(0.0, w) for _, w in own if any(w[:-k] in kept for k in (1, 2) if len(w) > k)]  # longer matches of short beginnings
     join = lambda found, most: " ".join(w for _, w in reversed(sorted(found, reverse=True)[:most])).encode()
     ordinary = b" " + join(common, size // 8)[-size:]
     marks = b" " + join(own, size // 8)[-size // 2 :] + b" "
@@ -126,12 +150,13 @@ def fit(texts: list[str], toxic: list[int], folds: int = 4) -> Model | None:
     if len(set(toxic)) < 2:
         return None
     part = np.arange(len(texts)) % folds
+    counts = [Counts([texts[i] for i in np.flatnonzero(part == f)], [toxic[i] for i in np.flatnonzero(part == f)]) for f in range(folds)]
     apart: list[np.ndarray] = [np.zeros(0)] * len(texts)
     for f in range(folds):
-        seen = np.flatnonzero(part != f)
-        if len({toxic[i] for i in seen}) < 2:
+        seen = Counts().plus([c for g, c in enumerate(counts) if g != f])
+        if not all(seen.texts):
             continue
-        model = Model(*train_dictionaries([texts[i] for i in seen], [toxic[i] for i in seen]), 0, (0,))
+        model = Model(*train_dictionaries(seen), 0, (0,))
         both = model.compressors()
         for i in np.flatnonzero(part == f):
             apart[i] = model.distances(both, texts[i])
@@ -143,7 +168,7 @@ def fit(texts: list[str], toxic: list[int], folds: int = 4) -> Model | None:
         loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
         if best is None or loss < best[0]:
             best = (loss, floor, tuple(w))
-    return Model(*train_dictionaries(texts, toxic), best[1], best[2])
+    return Model(*train_dictionaries(Counts().plus(counts)), best[1], best[2])
 
 
 def fit_labels(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
