@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, extended, prepare
 
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Characters of a window, about; windows end at a word's end.
 WINDOW = 72
 #: Lengths of word beginnings that may mark toxic text by themselves, and the evidence that a word or beginning needs.
@@ -89,36 +89,66 @@ def _surprise(a: int, b: int, n0: int, n1: int) -> float:
     return out
 
 
+#: Strings of which a counter keeps those seen once; beyond it they are dropped, so the driver's memory is bounded.
+HELD = 200_000
+
+
+def _thinned(counter: Counter) -> None:
+    if len(counter) > HELD:
+        for w in [w for w, n in counter.items() if n == 1]:
+            del counter[w]
+
+
+def _strings(text: str) -> tuple[set[str], set[str]]:
+    """Distinct words of a text, and distinct beginnings that are no words of it."""
+    seen = set(_WORDS.findall(text.translate(_TO_LOWER)))
+    return seen, {w[:k] for w in seen for k in STEMS if k < len(w)} - seen
+
+
+def candidates(texts: list[str], toxic: list[int]) -> set[str]:
+    """Words and beginnings that enough toxic texts hold to mark them."""
+    found: Counter = Counter()
+    for text, label in zip(texts, toxic, strict=True):
+        if label:
+            for strings in _strings(text):
+                found.update(strings)
+            _thinned(found)
+    return {w for w, n in found.items() if n >= COMMON_TEXTS}
+
+
 class Counts:
-    """In how many texts of each class each word, and each word beginning, occurs."""
+    """In how many texts of each class each candidate occurs, and in how many ordinary ones each word."""
 
-    def __init__(self, texts: list[str] = (), toxic: list[int] = ()):
-        self.texts, self.words, self.stems = [0, 0], (Counter(), Counter()), (Counter(), Counter())
+    def __init__(self, texts: list[str] = (), toxic: list[int] = (), wanted: set[str] = frozenset()):
+        self.texts, self.marks, self.words = [0, 0], (Counter(), Counter()), Counter()
         for text, label in zip(texts, toxic, strict=True):
-            seen = set(_WORDS.findall(text.translate(_TO_LOWER)))
+            seen, stems = _strings(text)
             self.texts[label] += 1
-            self.words[label].update(seen)
-            self.stems[label].update({w[:k] for w in seen for k in STEMS if k < len(w)} - seen)
+            self.marks[label].update(wanted & seen)
+            self.marks[label].update(wanted & stems)
+            if not label:
+                self.words.update(seen)
+                _thinned(self.words)
 
     def plus(self, others: list[Counts]) -> Counts:
         for o in others:
             for c in (0, 1):
                 self.texts[c] += o.texts[c]
-                self.words[c].update(o.words[c])
-                self.stems[c].update(o.stems[c])
+                self.marks[c].update(o.marks[c])
+            self.words.update(o.words)
+            _thinned(self.words)
         return self
 
 
 def train_dictionaries(counts: Counts, size: int = 16_000) -> tuple[bytes, bytes]:
     """Raw-content dictionaries (toxic, ordinary). A word or beginning is toxic text's own if far more of its texts hold it."""
-    n, whole = counts.texts, counts.words[0].keys() | counts.words[1].keys()
-    df = {w: (counts.words[0][w] + counts.stems[0][w], counts.words[1][w] + counts.stems[1][w]) for w in whole | counts.stems[1].keys()}
-    own, common = [], []
-    for w, (a, b) in df.items():
-        if b >= max(COMMON_TEXTS, COMMON_SHARE * n[1]) and b / max(1, n[1]) > 4 * a / max(1, n[0]) and _surprise(a, b, n[0], n[1]) > MARKED:
-            own.append((_surprise(a, b, n[0], n[1]), w))
-        elif a >= 3 and w in whole:
-            common.append((a, w))
+    n, own = counts.texts, []
+    for w, b in counts.marks[1].items():
+        a = counts.marks[0][w]
+        if b >= max(COMMON_TEXTS, COMMON_SHARE * n[1]) and b / max(1, n[1]) > 4 * a / max(1, n[0]) and (g := _surprise(a, b, *n)) > MARKED:
+            own.append((g, w))
+    marking = {w for _, w in own}
+    common = [(a, w) for w, a in counts.words.items() if a >= 3 and w not in marking]
     # of strings that begin alike the one with most evidence, so that marks hold no ordinary word endings
     own.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     best, kept, begun = [], set(), set()
@@ -150,7 +180,8 @@ def fit(texts: list[str], toxic: list[int], folds: int = 4) -> Model | None:
     if len(set(toxic)) < 2:
         return None
     part = np.arange(len(texts)) % folds
-    counts = [Counts([texts[i] for i in np.flatnonzero(part == f)], [toxic[i] for i in np.flatnonzero(part == f)]) for f in range(folds)]
+    wanted = candidates(texts, toxic)
+    counts = [Counts([texts[i] for i in np.flatnonzero(part == f)], [toxic[i] for i in np.flatnonzero(part == f)], wanted) for f in range(folds)]
     apart: list[np.ndarray] = [np.zeros(0)] * len(texts)
     for f in range(folds):
         seen = Counts().plus([c for g, c in enumerate(counts) if g != f])
