@@ -162,7 +162,9 @@ def fit(documents: DataFrame, hot: int = HOT) -> Model:
     spark = documents.sparkSession
     prepare(spark)
     folder = new_path(spark, "kneser-ney")
-    parts = 1 << max(3, math.ceil(math.log2(max(1, input_bytes(documents) / RANGE_BYTES))))
+    # files say how large they are; of other frames only the partitions are known
+    ranges = min(input_bytes(documents) / RANGE_BYTES, 16 * max(1, documents.rdd.getNumPartitions()))
+    parts = 1 << max(3, math.ceil(math.log2(max(1, ranges))))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

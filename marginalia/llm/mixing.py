@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 PERIOD, BLOCK_ROWS, MOST_SOURCES = 1024, 16, 1 << 14
 #: Rows that one task ranks, about.
 RANKED_ROWS = 100_000
+#: Rows of the table of range starts up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shares(targets: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -82,7 +84,8 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, source: str =
     held = drawn.groupBy("_mix_source", "_mix_range").agg(F.count("*").alias("_mix_n"))
     before = held.select("_mix_source", "_mix_range", (F.sum("_mix_n").over(Window.partitionBy("_mix_source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_mix_n")).alias("_mix_before"))
     inside = F.row_number().over(Window.partitionBy("_mix_source", "_mix_range").orderBy("_mix_h", key))
-    at = drawn.withColumn("_mix_in", inside).join(F.broadcast(before), ["_mix_source", "_mix_range"]).withColumn("_mix_rank", F.col("_mix_in") + F.col("_mix_before") - 1)
+    before = F.broadcast(before) if len(sizes) * parts <= BROADCAST_ROWS else before
+    at = drawn.withColumn("_mix_in", inside).join(before, ["_mix_source", "_mix_range"]).withColumn("_mix_rank", F.col("_mix_in") + F.col("_mix_before") - 1)
     at = at.withColumn("mix_block", F.floor(F.col("_mix_rank") / block_rows)).withColumn("mix_place", F.col("_mix_rank") % block_rows)
     k = F.create_map(*[x for s, n in sorted(slots.items()) for x in (F.lit(s), F.lit(n))]) if len(slots) <= 64 else None
     if k is not None:
