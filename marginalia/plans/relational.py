@@ -307,3 +307,60 @@ SELECT count(*) AS total, count(DISTINCT doc_id) AS total_documents, true AS exa
 both("srt_11_document_page", """
 SELECT doc_id, n, total FROM (SELECT doc_id, count(*) AS n, sum(count(*)) OVER () AS total, row_number() OVER (ORDER BY doc_id) AS k FROM words WHERE word = 'was' GROUP BY doc_id) g WHERE k BETWEEN 11 AND 30""")
 both("agg_9_group_by_document", "SELECT doc_id, count(*) AS occurrences, min(pos) AS first_pos FROM words WHERE word = 'the' GROUP BY doc_id")
+# --- further operators -------------------------------------------------------------------------------
+both("flt_8_alias_contains", """
+SELECT DISTINCT n.n_name FROM nation n JOIN (SELECT n_nationkey AS k, n_name AS alias FROM nation UNION ALL SELECT s_nationkey, s_name FROM supplier) a ON a.k = n.n_nationkey WHERE lower(a.alias) LIKE '%1%'""")
+both("flt_12_scoped_starts", """
+SELECT w.doc_id, w.pos FROM words w JOIN (SELECT doc_id, min(pos) AS title_end, max(pos) AS document_end FROM words WHERE word = 'the' GROUP BY doc_id) f ON f.doc_id = w.doc_id WHERE w.word = 'and' AND w.pos > f.title_end AND w.pos < f.document_end""")
+both("flt_13_range_scope", """
+SELECT l.l_orderkey, l.l_linenumber FROM lineitem l JOIN (SELECT o_custkey, min(o_orderkey) AS first_row, max(o_orderkey) AS last_row FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) r ON r.o_custkey = l.l_suppkey AND l.l_orderkey BETWEEN r.first_row AND r.last_row""")
+both("fn_13_score_blend", """
+SELECT doc_id, round(0.62 * (n_chars % 100) / 100 + 0.28 * (doc_id % 10) / 10 + 0.10 / (1 + doc_id % 7), 6) AS score FROM documents""",
+     "SELECT doc_id, round(CAST(0.62 AS DOUBLE) * (n_chars % 100) / 100 + CAST(0.28 AS DOUBLE) * (doc_id % 10) / 10 + CAST(0.10 AS DOUBLE) / (1 + doc_id % 7), 6) AS score FROM documents")
+SPARK["fn_13_score_blend"] = DUCK["fn_13_score_blend"]
+both("joi_11_set_intersection", """
+SELECT doc_id FROM words WHERE word = 'that' INTERSECT SELECT doc_id FROM words WHERE word = 'with' INTERSECT SELECT doc_id FROM words WHERE word = 'and'""")
+both("joi_14_entity_resolution", """
+WITH q AS (SELECT DISTINCT lower(p_brand) AS name FROM part UNION SELECT DISTINCT lower(n_name) FROM nation), c AS (SELECT n_nationkey AS id, lower(n_name) AS name FROM nation),
+exact AS (SELECT q.name, c.id FROM q JOIN c ON c.name = q.name),
+part_of AS (SELECT q.name, min(c.id) AS id, count(*) AS n FROM q JOIN c ON c.name LIKE concat('%', q.name, '%') WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.name = q.name) GROUP BY q.name)
+SELECT q.name, coalesce(e.id, CASE WHEN p.n = 1 THEN p.id END) AS id, CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN p.n = 1 THEN 'contained' WHEN p.n > 1 THEN 'review' ELSE 'missing' END AS outcome
+FROM q LEFT JOIN exact e ON e.name = q.name LEFT JOIN part_of p ON p.name = q.name""")
+both("srt_6_numeric_order", """
+SELECT doc_id, row_number() OVER (ORDER BY CAST(substr(source, 4) AS INT), doc_id % 300, doc_id) AS place FROM documents""")
+both("set_8_all_names_new", """
+SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT source AS name FROM documents WHERE n_chars > 15000 UNION SELECT lang FROM documents WHERE n_chars > 25000) k WHERE k.name = d.source OR k.name = d.lang)""")
+both("set_11_snapshot_diff", """
+WITH was AS (SELECT concat(source, '/', doc_id) AS path, md5(text) AS ident FROM documents WHERE n_chars > 100), now_ AS (SELECT concat(CASE WHEN lang = 'fr' THEN lang ELSE source END, '/', doc_id) AS path, md5(text) AS ident FROM documents WHERE n_chars < 9000),
+gone AS (SELECT w.path, w.ident FROM was w WHERE NOT EXISTS (SELECT 1 FROM now_ n WHERE n.path = w.path)), fresh AS (SELECT n.path, n.ident FROM now_ n WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.path = n.path))
+SELECT f.path, CASE WHEN g.ident IS NULL THEN 'created' ELSE 'renamed' END AS kind, g.path AS previous FROM fresh f LEFT JOIN (SELECT ident, min(path) AS path FROM gone GROUP BY ident HAVING count(*) = 1) g ON g.ident = f.ident
+UNION ALL SELECT g.path, 'deleted', NULL FROM gone g WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.ident = g.ident)""")
+both("agg_35_edition_difference", """
+SELECT a.doc_id, a.lang = b.lang AS same_lang, a.source = b.source AS same_source, a.n_chars - b.n_chars AS d_chars FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+both("agg_43_verse_ranges", """
+SELECT surah, count(*) AS n, min(lo) AS first_verse, max(hi) AS last_verse FROM (SELECT doc_id % 114 + 1 AS surah, doc_id % 50 AS lo, n_chars % 50 AS hi FROM documents) r WHERE lo <= hi GROUP BY surah""")
+both("win_9_last_heading", """
+SELECT doc_id, ordinal, max(CASE WHEN length(text) < 40 THEN ordinal END) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading_at FROM paragraphs""")
+both("sch_2_smallest_bucket", """
+SELECT p.doc_id, p.ordinal FROM paragraphs p JOIN (SELECT DISTINCT doc_id FROM words WHERE word = (SELECT word FROM (SELECT word, count(DISTINCT doc_id) AS df FROM words WHERE word IN ('that', 'this', 'with') GROUP BY word) c ORDER BY df, word LIMIT 1)) d ON d.doc_id = p.doc_id
+WHERE concat(' ', p.folded, ' ') LIKE '% that %' AND concat(' ', p.folded, ' ') LIKE '% this %' AND concat(' ', p.folded, ' ') LIKE '% with %'""")
+both("sch_8_field_scoped", """
+SELECT w.doc_id, count(*) AS n FROM words w JOIN (SELECT doc_id, max(pos) AS document_end FROM words GROUP BY doc_id) f ON f.doc_id = w.doc_id WHERE w.word = 'the' AND w.pos * 2 > f.document_end GROUP BY w.doc_id""")
+both("sch_14_phrase_with_facets", """
+SELECT d.source, count(*) AS hits, count(DISTINCT p.doc_id) AS books FROM paragraphs p JOIN documents d ON d.doc_id = p.doc_id WHERE instr(p.folded, 'of the') > 0 AND NOT p.folded LIKE '%with%' GROUP BY d.source""")
+both("sch_16_pack_ranking", """
+SELECT doc_id, ordinal, CASE WHEN folded = 'that the' THEN 4 WHEN folded LIKE 'that the%' THEN 3 WHEN folded LIKE '%that%' AND folded LIKE '%the%' THEN 2 ELSE 1 END AS rank FROM paragraphs WHERE folded LIKE '%that%' OR folded LIKE '%the%'""")
+both("sch_20_category_scope", """
+SELECT p.doc_id, p.ordinal FROM paragraphs p WHERE p.folded LIKE '%and%' AND p.doc_id IN (SELECT l.doc_id FROM labels l WHERE l.quality = 1)""")
+both("sch_21_facet_narrowing", """
+SELECT d.lang, d.source, count(*) AS n FROM documents d JOIN paragraphs p ON p.doc_id = d.doc_id WHERE d.lang IN ('en', 'de') AND p.folded LIKE '%er%' GROUP BY d.lang, d.source""")
+both("sch_23_root_lookup", """
+SELECT doc_id, pos FROM words WHERE substr(word, 1, 3) = 'the' AND length(word) > 3""")
+both("sch_26_segment_phrases", """
+SELECT conv_id, turn, CAST((length(t) - length(replace(t, 'the ', ''))) / 4 AS INT) AS n FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations) c WHERE t LIKE '%the %'""")
+both("str_6_lease_recovery", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderkey % 9 >= 8 THEN 'blocked' WHEN o_orderdate < TIMESTAMP '1995-01-01 00:00:00' AND o_orderstatus = 'P' THEN 'recovered' WHEN o_orderstatus = 'P' THEN 'leased' ELSE 'ready' END AS state FROM orders""")
+both("str_14_snapshot_fence", """
+SELECT a.n = b.n AND a.s = b.s AS unchanged FROM (SELECT count(*) AS n, max(o_orderkey) AS s FROM orders) a CROSS JOIN (SELECT count(*) AS n, max(o_orderkey) AS s FROM orders) b""")
+both("str_20_undo", """
+SELECT e.event_id, e.value AS now_value, p.value AS undone_to, e.event_id = n.newest AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) e JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) p ON p.user_id = e.user_id AND p.k = e.k - 1 JOIN (SELECT user_id, max(event_id) AS newest FROM events GROUP BY user_id) n ON n.user_id = e.user_id""")
