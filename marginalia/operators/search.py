@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import bounded_levenshtein, occurrences
 from marginalia.plans.views import folded
 
-from .index import trigram_postings
-
 
 @dataclass(frozen=True)
 class Query:
@@ -55,13 +53,13 @@ def excluded(text: Column, parts: tuple[str, ...]) -> Column:
     return out
 
 
-def shard_search(docs: DataFrame, phrase: str, key: list[str], exclude: tuple[str, ...] = (), folded_column: str = "folded") -> DataFrame:
-    """Rows whose folded text holds the phrase: trigram intersection, then verification. Under three characters: a scan; under two: nothing."""
+def shard_search(docs: DataFrame, phrase: str, key: list[str], exclude: tuple[str, ...] = (), folded_column: str = "folded", postings: DataFrame | None = None) -> DataFrame:
+    """Rows whose folded text holds the phrase. With trigram postings: their intersection, then verification; without, or under three characters: a scan; under two: nothing."""
     if len(phrase) < 2:
         return docs.where(F.lit(False)).withColumn("at", F.lit(None).cast("int"))
-    if len(phrase) >= 3:
+    if postings is not None and len(phrase) >= 3:
         wanted = sorted({phrase[i : i + 3] for i in range(len(phrase) - 2)})
-        hits = trigram_postings(docs, key, folded_column).where(F.col("gram").isin(wanted)).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).drop("n")
+        hits = postings.where(F.col("gram").isin(wanted)).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).drop("n")
         docs = docs.join(hits, key, "left_semi")
     return docs.where(F.contains(folded_column, F.lit(phrase)) & excluded(F.col(folded_column), exclude)).withColumn("at", F.instr(folded_column, phrase) - 1)
 
@@ -96,7 +94,8 @@ def verse_ranking(verses: DataFrame, query: str, text: str = "folded") -> DataFr
     """Score: exact 100, token prefix 92, substring 86, letters in order 68, else 60 - 5 x distance (2 at most) to a token."""
     c, q = F.col(text), F.lit(query)
     tokens = F.split(c, " ")
-    near = F.array_min(F.transform(tokens, lambda t: bounded_levenshtein(t, q, 2)))
+    close = F.filter(F.array_distinct(tokens), lambda t: F.abs(F.length(t) - len(query)) <= 2)
+    near = F.array_min(F.transform(close, lambda t: bounded_levenshtein(t, q, 2)))
     letters = ".*".join(query.replace(" ", ""))
     score = (
         F.when(c == q, 100).when(F.exists(tokens, lambda t: F.startswith(t, q)), 92).when(F.contains(c, q), 86)

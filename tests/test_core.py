@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from marginalia import registry
 from marginalia.functions import folds, hashing, text
-from marginalia.operators import search, stateful
+from marginalia.operators import index, search, stateful
 from marginalia.plans import views
 from marginalia.sources import documents as sources
 from marginalia.streaming import events as streaming
@@ -45,7 +45,8 @@ def test_query_parser():
 def test_index_equals_scan_and_paging_is_complete(spark):
     docs = spark.createDataFrame([(f"b{i % 7}", i, f"row {i} " + ("actions count" if i % 2 == 0 else "nothing")) for i in range(400)], "book string, ordinal int, folded string")
     for phrase in ("actions", "ac", "s c", "x"):
-        hits = {r.ordinal for r in search.shard_search(docs, phrase, ["book", "ordinal"]).collect()}
+        hits = {r.ordinal for r in search.shard_search(docs, phrase, ["book", "ordinal"], postings=index.trigram_postings(docs, ["book", "ordinal"])).collect()}
+        assert hits == {r.ordinal for r in search.shard_search(docs, phrase, ["book", "ordinal"]).collect()}
         assert hits == ({r.ordinal for r in docs.where(F.contains("folded", F.lit(phrase))).collect()} if len(phrase) > 1 else set())
     hits = search.shard_search(docs, "actions", ["book", "ordinal"])
     pages = [search.counted(hits, [F.col("ordinal")], o, 30).collect() for o in range(0, 210, 30)]
