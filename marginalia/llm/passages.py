@@ -1,9 +1,13 @@
 """Substring dedup by collinear chaining: fuzzy passages that repeat across documents.
 
-Seeds are minimisers: of each 16 consecutive runs of 8 words the one with the least hash, so a passage of over 50
-equal words always has two at least. Seeds of different documents join on their hash. Each document of a seed is
-linked to the seed's least and greatest document, so a passage shared by thousands of documents, or a group of copies,
-gives a number of links in proportion to its size and no pairs within it. For each linked pair all shared runs of
+Two kinds of keys, one of each for every word of a text, make candidates. The hash of `least` words in a row stands for
+an exact passage: all documents of such a key share the passage itself, so a link to one of them is enough. Two runs of
+`SEED` words, `NEAR` to `FAR` words apart, stand for a fuzzy one: the second is the one with the least hash together with
+the first, so edits elsewhere leave the key as it is. No position is left out. Keys of different documents meet by their
+hash. Each document of a key is linked to the key's least and greatest document, so a passage shared by thousands of
+documents, or a group of copies, gives a number of links in proportion to its size and no pairs within it. Not sure to
+be linked are two documents whose passage is fuzzy and whose common keys all stand in a lower and a higher document
+too, without a passage there. For each linked pair all shared runs of
 `ANCHOR` words become anchors (maximal runs on a diagonal), ordered anchors are chained with gap costs through a
 Fenwick tree, and the gaps of a chain are aligned by longest common subsequence. A chain is cut at its largest gap until
 the similarity is at least `similarity`; parts of `least` words or more are passages.
@@ -11,8 +15,8 @@ the similarity is at least `similarity`; parts of `least` words or more are pass
 A result row is (doc_id, start, end, other_id, other_start, other_end, similarity): word offsets, ends exclusive. Exact
 copies are passages over whole texts. Documents without such passages, null and empty texts, and texts of fewer
 than `least` words give no row. Rows with a null doc_id take no part; equal rows count once. A run that repeats within
-both texts is matched occurrence by occurrence, further ones with the last;
-a word repeated `least` times or more is a passage of its own, longest run against longest run. Extra columns are ignored.
+both texts is matched occurrence by occurrence, further ones with the last; equal runs of `least` words that this
+leaves open are matched by themselves. A word repeated `least` times or more is a passage of its own, longest run against longest run. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, prepare, shingles_of, slices, words_of, written
+from .common import WORD, mix, pack_sorted, prepare, shingles_of, slices, unpack_sorted, words_of, written
 
-SEED, STRIDE, ANCHOR, LEAST, SIMILARITY, GAP = 8, 16, 5, 50, 0.8, 0.25
+SEED, NEAR, FAR, ANCHOR, LEAST, SIMILARITY, GAP = 5, 6, 14, 5, 50, 0.8, 0.25
+#: Ranges of keys, by their first byte; bits of a key that are kept; bits of a row's place in its piece of a batch.
+RANGES, KEY_BITS, ROW_BITS = 256, 46, 9
 #: Documents that one task aligns with one leader, about.
 SHARE = 256
 SCHEMA = "doc_id long, start long, end long, other_id long, other_start long, other_end long, similarity double"
 
 
-def minimisers(grams: np.ndarray, stride: int = STRIDE) -> np.ndarray:
-    """The distinct least hashes of all `stride` consecutive ones (of all, where there are fewer)."""
-    if len(grams) <= stride:
-        return grams.min(keepdims=True) if len(grams) else grams
-    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, stride).min(axis=1))
+def strobes(grams: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of each run with a run of its text `NEAR` to `FAR` words later: of these the least when hashed together."""
+    most = np.uint64(0xFFFFFFFFFFFFFFFF)
+    first, best = grams * np.uint64(0xD6E8FEB86659FD93), np.full(len(grams), most)
+    for d in range(NEAR, min(FAR, len(grams) - 1) + 1):
+        got = np.where(where[:-d] == where[d:], first[:-d] ^ grams[d:], most)
+        np.minimum(best[:-d], got, out=best[:-d])
+    at = np.flatnonzero(best != most)
+    return mix(best[at]), where[at]
 
 
 def long_runs(words: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -50,25 +60,81 @@ def long_runs(words: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return sorted(found.values(), key=lambda r: r[1])
 
 
-def _seeds(texts: DataFrame, least: int) -> DataFrame:
+def keys_of(hashes: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of all keys of texts of `least` words or more."""
+    grams, where, _ = shingles_of(hashes, rows, SEED)
+    last = least - SEED
+    m = max(0, len(grams) - last)
+    whole = np.zeros(m, np.uint64)
+    for d in [*range(0, last, SEED), last]:
+        whole = whole * np.uint64(0x9FB21C651E98DF25) + grams[d : d + m]
+    same = where[:m] == where[last:]
+    at = where[:m][same]
+    long = np.isin(where, at)
+    near, by = strobes(grams[long], where[long])
+    return np.concatenate([mix(whole[same]), near]), np.concatenate([at, by])
+
+
+def _keys(texts: DataFrame, least: int) -> DataFrame:
+    """Rows (range, ids, keys): the sorted keys of one range, each with its row's place in ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(0, len(batch), 1 << ROW_BITS):
+                b = batch.slice(x, 1 << ROW_BITS)
+                ids, out = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), [np.zeros(0, np.uint64)]
+                for a, _, buf, offsets in slices(b.column(1)):
+                    keys, at = keys_of(*words_of(buf, offsets, WORD), least)
+                    out.append(np.unique(keys >> np.uint64(64 - KEY_BITS) << np.uint64(ROW_BITS) | (at + a).astype(np.uint64)))
+                packed = np.sort(np.concatenate(out))
+                cuts = np.searchsorted(packed, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(KEY_BITS + ROW_BITS - 8))
+                full = np.flatnonzero(np.diff(cuts))
+                blobs = [pack_sorted(packed[cuts[r] : cuts[r + 1]]) for r in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pack_sorted(ids)] * len(full), pa.binary()), pa.array(blobs, pa.binary())], ["range", "ids", "keys"])
+
+    return texts.mapInArrow(run, "range int, ids binary, keys binary")
+
+
+def links_of(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, leader): each document of a key with the key's least and greatest document."""
+    order = np.argsort(keys, kind="stable")
+    keys, docs = keys[order], docs[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(first):
+        return docs, docs
+    size = np.diff(np.append(first, len(keys)))
+    low, high = (np.repeat(f.reduceat(docs, first), size) for f in (np.minimum, np.maximum))
+    doc, lead = np.concatenate([docs, docs]), np.concatenate([low, high])
+    doc, lead = doc[doc != lead], lead[doc != lead]
+    order = np.lexsort((lead, doc))
+    doc, lead = doc[order], lead[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1])])[: len(doc)]
+    return doc[new], lead[new]
+
+
+def _links(keys: DataFrame) -> DataFrame:
+    """Links (doc_id, lead) of key rows, sorted by range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, docs = None, [], []
+
+        def found() -> pa.RecordBatch:
+            doc, lead = links_of(np.concatenate(at), np.concatenate(docs))
+            at.clear()
+            docs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lead)], ["doc_id", "lead"])
+
         for b in batches:
-            ids, out, at = b.column(0).to_numpy(zero_copy_only=False), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for a, z, buf, offsets in slices(b.column(1)):
-                hashes, rows = words_of(buf, offsets, WORD)
-                grams, where, _ = shingles_of(hashes, rows, SEED)
-                cuts = np.searchsorted(where, np.arange(z - a + 1))
-                for i in range(z - a):
-                    if cuts[i + 1] - cuts[i] + SEED - 1 >= least:
-                        got = minimisers(grams[cuts[i] : cuts[i + 1]])
-                        own = hashes[slice(*np.searchsorted(rows, (i, i + 1)))]
-                        if np.count_nonzero(own[1:] == own[:-1]) >= least - 1:  # a long run has one seed, which short runs have too
-                            got = np.concatenate([got, mix(np.array([w ^ 0x52554E for w, _, _ in long_runs(own, least)], np.uint64))])
-                        out.append(got)
-                        at.append(np.full(len(got), ids[a + i], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(at))], ["seed", "doc_id"])
-
-    return texts.mapInArrow(run, "seed long, doc_id long")
+            for r, ids, blob in zip(*(b.column(c).to_pylist() for c in ("range", "ids", "keys")), strict=True):
+                if r != own and at:
+                    yield found()
+                own, packed = r, unpack_sorted(blob)
+                at.append(packed >> np.uint64(ROW_BITS))
+                docs.append(unpack_sorted(ids).view(np.int64)[(packed & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)])
+        if at:
+            yield found()
+
+    return keys.mapInArrow(run, "doc_id long, lead long")
 
 
 def anchors_of(a: np.ndarray, b: np.ndarray, k: int = ANCHOR) -> np.ndarray:
@@ -193,6 +259,16 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int = LEAST, similarity: float
             elif y - x > 1:
                 cut = x + int(np.argmax(gaps_a[x : y - 1] + gaps_b[x : y - 1])) + 1
                 todo += [(x, cut), (cut, y)]
+    grams = np.sort(shingles_of(a, np.zeros(len(a), np.int64), ANCHOR)[0])
+    if (grams[1:] == grams[:-1]).any():  # where short runs repeat, an equal passage may have met other occurrences
+        open_ = np.ones(len(a), bool)
+        for x, y, *_ in out:
+            open_[x:y] = False
+        if open_.sum():
+            for i, j, n in anchors_of(a, b, least).tolist():
+                if open_[i : i + n].any():
+                    open_[i : i + n] = False
+                    out.append((i, i + n, j, j + n, 1.0))
     return sorted(out)
 
 
@@ -226,15 +302,13 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     spark = documents.sparkSession
     prepare(spark)
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    seeds = written(_seeds(texts, least), "seeds")
-    ends = seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    linked = seeds.join(ends, "seed").select("doc_id", F.explode(F.array("low", "high")).alias("lead")).where("doc_id <> lead")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    linked = _links(_keys(texts, least).repartition(parts, "range").sortWithinPartitions("range"))
     pairs = linked.select(F.greatest("doc_id", "lead").alias("x"), F.least("doc_id", "lead").alias("y"), (F.col("doc_id") > F.col("lead")).alias("up")).groupBy("x", "y").agg(F.bool_or("up").alias("up"))
     pairs = written(pairs.select(F.when(F.col("up"), F.col("x")).otherwise(F.col("y")).alias("doc_id"), F.when(F.col("up"), F.col("y")).otherwise(F.col("x")).alias("lead")), "links")
     shares = pairs.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(SHARE)).cast("int").alias("shares"))
     members = pairs.join(shares, "lead").select("doc_id", "lead", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("lead_row"))
     leaders = shares.select(F.col("lead").alias("doc_id"), "lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("lead_row"))
     wanted = members.union(leaders).join(texts, "doc_id")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = wanted.repartition(parts, "lead", "share").sortWithinPartitions("lead", "share", F.desc("lead_row"), "doc_id")
     return _aligned(ordered).distinct()

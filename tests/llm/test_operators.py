@@ -134,6 +134,20 @@ def test_passages(spark, corpus):
     assert passages.passages(frame(spark, [None, "", "a"])).count() == 0
 
 
+def test_passages_over_the_joint_of_two_common_lines(spark):
+    """Lines stand alone in documents of lower and higher ids; two documents in between hold both, 60 equal words."""
+    rng = random.Random(11)
+    low, middle, high, wanted = [], [], [], set()
+    for i in range(40):
+        x, y = prose(rng, 30, 10**6), prose(rng, 30, 10**6)
+        low += [f"{prose(rng, 30, 10**6)} {t} {prose(rng, 30, 10**6)}" for t in (x, y)]
+        high += [f"{prose(rng, 30, 10**6)} {t} {prose(rng, 30, 10**6)}" for t in (x, y)]
+        middle += [f"{prose(rng, 20, 10**6)} {x} {y} {prose(rng, 20, 10**6)}" for _ in "bc"]
+        wanted.add((80 + 2 * i, 81 + 2 * i))
+    rows = passages.passages(frame(spark, [*low, *middle, *high])).collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in rows} == wanted
+
+
 def test_common_words_is_lcs():
     rng = random.Random(1)
     for _ in range(50):
