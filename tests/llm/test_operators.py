@@ -148,6 +148,29 @@ def test_passages_over_the_joint_of_two_common_lines(spark):
     assert {tuple(sorted((r.doc_id, r.other_id))) for r in rows} == wanted
 
 
+def test_fuzzy_passages_against_alignment(spark):
+    """Pairs with random changes: of those that alignment of the two texts finds, the share that the operator finds."""
+    rng = random.Random(12)
+    texts, cases = [], []
+    for similarity in (0.8, 0.84, 0.88, 0.92, 0.95):
+        for n in (60, 100):
+            for _ in range(30):
+                w = prose(rng, n, 10**6).split()
+                v = list(w)
+                for e in rng.sample(range(n), round(n * (1 - similarity))):
+                    v[e] = f"neu{rng.randrange(10**9)}"
+                cases.append((similarity, len(texts)))
+                texts += [f"{prose(rng, 100, 10**6)} {' '.join(t)} {prose(rng, 100, 10**6)}" for t in (w, v)]
+    pairs = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.passages(frame(spark, texts)).collect()}
+    hashed = lambda t: passages.words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), passages.WORD)[0]
+    there, found = Counter(), Counter()
+    for s, i in cases:
+        if passages.aligned(hashed(texts[i + 1]), hashed(texts[i])):
+            there[s] += 1
+            found[s] += (i, i + 1) in pairs
+    assert all(found[s] >= (0.85 if s < 0.84 else 0.9 if s < 0.88 else 0.97) * there[s] for s in there)
+
+
 def test_common_words_is_lcs():
     rng = random.Random(1)
     for _ in range(50):
