@@ -1,33 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source is cut into blocks of `block_rows` documents in a seeded random order. With weight w, its block j is
-released at slot floor(j / w) and due by slot ceil((j + 1) / w). Slots are given out earliest deadline first among
-released blocks, which keeps every source within one block of slot * w at all times. Weights are multiples of
-1 / period, so one period of slots is computed once, on the driver (`period` slots, however large the input), and
-repeats. A source that has run out leaves its slots empty; nothing is dropped or repeated.
+released at slot floor(j / w) and due by slot ceil((j + 1) / w), both from the exact weights. Slots are given out
+earliest deadline first among released blocks, which keeps every source within one block of slot * w at all times until
+it runs out, however many slots there are. A source that has run out leaves its slots empty; nothing is dropped or
+repeated. The schedule is one sequence: one task makes it, in steps of one block, and holds a block of each source only.
 
 Null is a source of its own, named by the empty key in `weights`. Empty tables give an empty result. Repeated rows
-stay repeated. Ties go to the source that sorts first. The number of sources must be at most period / 4; the period
-is raised to the next power of two that fits, and more than MOST_SOURCES sources is an error.
+stay repeated. Ties go to the source that sorts first. Weights that are not above zero and more than MOST_SOURCES
+sources are errors.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD, BLOCK_ROWS, MOST_SOURCES = 1024, 16, 1 << 14
+#: Blocks that the scheduling task hands on at a time.
+PLAN_ROWS = 10_000
 #: Rows that one task ranks, about.
 RANKED_ROWS = 100_000
-#: Rows of the table of range starts up to which it is broadcast.
+#: Rows of the tables of range starts and of slots up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
 
 def shares(targets: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each source: largest remainders, one at least, `period` in all."""
+    """Targets rounded to slots of a period, for a plan that is to repeat: largest remainders, one at least, `period` in all."""
     total = sum(targets.values())
     exact = {s: Fraction(w).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * period for s, w in targets.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
@@ -39,26 +45,38 @@ def shares(targets: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(slots: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block within the period, slot) of one period, earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    waiting = [(0, s, 0) for s in sorted(slots)]  # release, source, block
+def exact(targets: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportions of the targets."""
+    if any(not 0 < w < math.inf for w in targets.values()):
+        raise ValueError("weights must be above zero")
+    parts = {s: Fraction(w) for s, w in targets.items()}
+    unit = math.lcm(*(x.denominator for x in parts.values()))
+    return {s: int(x * unit) for s, x in parts.items()}
+
+
+def schedule(weights: dict[str, int], blocks: dict[str, int] | None = None) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of all blocks (of one period of sum(weights) slots without `blocks`), earliest deadline
+    first among released blocks."""
+    total, blocks = sum(weights.values()), weights if blocks is None else blocks
+    waiting = [(0, s, 0) for s in sorted(weights) if blocks[s]]  # release, source, block
     ready: list[tuple[int, str, int]] = []  # deadline, source, block
     heapq.heapify(waiting)
-    out = []
-    for t in range(period):
+    t = 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
         deadline, s, j = heapq.heappop(ready)
         assert t < deadline, "the weights add up to one, so no deadline is missed"
-        out.append((s, j, t))
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
-    return out
+        yield s, j, t
+        t += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
 
 
-def mixed(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD, temperature: float = 0.5, seed: int = 0) -> DataFrame:
+def mixed(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS, temperature: float = 0.5, seed: int = 0) -> DataFrame:
     """df with mix_block, mix_slot, mix_place (place within the slot) and mix_order (the same as one number).
 
     weights: target weight of each source; those not named, or all without weights, get size ** temperature.
@@ -72,10 +90,15 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, source: str =
         raise ValueError(f"more than {MOST_SOURCES} sources")
     if not sizes:
         return keep.select("*", *[F.lit(None).cast("long").alias(n) for n in ("mix_block", "mix_slot", "mix_place", "mix_order")])
-    while period < 4 * len(sizes):
-        period *= 2
-    slots = shares({s: (weights or {}).get(s, float(n) ** temperature) for s, n in sizes.items()}, period)
-    plan = spark.createDataFrame([(s, j, t, slots[s]) for s, j, t in schedule(slots)], "_mix_source string, _mix_j long, _mix_t long, _mix_k long")
+    slots = exact({s: (weights or {}).get(s, float(n) ** temperature) for s, n in sizes.items()})
+    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
+
+    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in itertools.batched(schedule(slots, blocks), PLAN_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], ["_mix_source", "mix_block", "_mix_t"])
+
+    plan = spark.range(0, 1, 1, 1).mapInArrow(run, "_mix_source string, mix_block long, _mix_t long")
+    plan = F.broadcast(plan) if sum(blocks.values()) <= BROADCAST_ROWS else plan.hint("merge")
     parts = max(1, -(-max(sizes.values()) // RANKED_ROWS)) if len(sizes) == 1 else max(1, -(-sum(sizes.values()) // RANKED_ROWS))
     parts = max(parts, spark.sparkContext.defaultParallelism * 4)
     # rank within a source without sending it to one task: rank within hash ranges, plus what earlier ranges hold
@@ -87,12 +110,6 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, source: str =
     before = F.broadcast(before) if len(sizes) * parts <= BROADCAST_ROWS else before
     at = drawn.withColumn("_mix_in", inside).join(before, ["_mix_source", "_mix_range"]).withColumn("_mix_rank", F.col("_mix_in") + F.col("_mix_before") - 1)
     at = at.withColumn("mix_block", F.floor(F.col("_mix_rank") / block_rows)).withColumn("mix_place", F.col("_mix_rank") % block_rows)
-    k = F.create_map(*[x for s, n in sorted(slots.items()) for x in (F.lit(s), F.lit(n))]) if len(slots) <= 64 else None
-    if k is not None:
-        at = at.withColumn("_mix_j", F.col("mix_block") % k[F.col("_mix_source")])
-    else:
-        counts = spark.createDataFrame(sorted(slots.items()), "_mix_source string, _mix_m long")
-        at = at.join(F.broadcast(counts), "_mix_source").withColumn("_mix_j", F.col("mix_block") % F.col("_mix_m"))
-    at = at.join(F.broadcast(plan), ["_mix_source", "_mix_j"])
-    at = at.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("_mix_k")) * period + F.col("_mix_t")).withColumn("mix_order", F.col("mix_slot") * block_rows + F.col("mix_place"))
+    at = at.join(plan, ["_mix_source", "mix_block"])
+    at = at.withColumn("mix_slot", F.col("_mix_t")).withColumn("mix_order", F.col("mix_slot") * block_rows + F.col("mix_place"))
     return at.select(*keep.columns, *[F.col(n).cast("long").alias(n) for n in ("mix_block", "mix_slot", "mix_place", "mix_order")])

@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -307,6 +308,27 @@ def test_pfair_deviation_stays_below_one_block():
             assert all(abs(done[x] - t * k / 128) < 1 for x, k in slots.items())
 
 
+def test_mixing_deviation_from_the_targets_over_many_periods(spark):
+    rng = random.Random(6)
+    targets = {"": 1e-5, **{f"s{i}": rng.random() for i in range(9)}}
+    weights, total, done = mixing.exact(targets), sum(map(Fraction, targets.values())), Counter()
+    for s, j, t in itertools.islice(mixing.schedule(weights, dict.fromkeys(weights, 10**6)), 60_000):
+        done[s] += 1
+        assert j == done[s] - 1 and t + 1 == sum(done.values())
+        if t % 97 == 0:
+            assert all(abs(done[x] - (t + 1) * Fraction(w) / total) < 1 for x, w in targets.items())
+    targets = {"a": 0.49995, "b": 0.49995, "c": 0.0001}
+    df = spark.range(6020).selectExpr("id as doc_id", "case when id < 20 then 'c' when id % 2 = 0 then 'a' else 'b' end as source")
+    rows = mixing.mixed(df, targets, block_rows=1).orderBy("mix_slot").collect()
+    done, last = Counter(), min(max(r.mix_slot for r in rows if r.source == s) for s in "ab")
+    assert len(rows) == len({r.mix_slot for r in rows}) == 6020
+    for r in rows:
+        done[r.source] += 1
+        assert r.mix_slot > last or all(abs(done[x] - (r.mix_slot + 1) * w) < 1 for x, w in targets.items())
+    with pytest.raises(ValueError):
+        mixing.mixed(df, {"a": 0.0})
+
+
 def test_mixing_keeps_every_row(spark, corpus):
     df = frame(spark, corpus * 3)
     got = mixing.mixed(df.union(spark.createDataFrame([(0, None, None, None, None)], DOCS)), block_rows=4).collect()
