@@ -1,6 +1,6 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled text: one holds the words of ordinary text, the other the same and,
+Two zstandard dictionaries are made from labelled text, not by zstandard's own training: one holds the words of ordinary text, the other the same and,
 next to the window, the words and word beginnings that mark toxic text; the first is padded to the same length with
 bytes that match nothing, so that ordinary matches have equal offsets, thus equal costs, under both. A document is cut into windows of whole words; the bytes that
 the toxic dictionary saves on a window are the window's distance. Thresholds and weights on a document's distances
@@ -33,8 +33,9 @@ SAMPLE_ROWS = 8_000
 WINDOW = 72
 #: Lengths of word beginnings that may mark toxic text by themselves, and the evidence that a word or beginning needs.
 STEMS, MARKED = (3, 4, 5, 6, 7, 8), 16.0
-#: Share of toxic texts, and number of them, that a marking word or beginning occurs in at least: copies of a few texts mark nothing.
-COMMON_SHARE, COMMON_TEXTS = 0.03, 4
+#: Different toxic texts that a marking word or beginning occurs in at least: copies of a few texts mark nothing. A number, no
+#: share: with labels enough, a language or topic that few toxic texts belong to has marks of its own.
+COMMON_TEXTS = 8
 _TO_LOWER = {i: i + 32 for i in range(65, 91)}
 _WORDS = re.compile(r"[^\W\d_]+")
 _WINDOW = re.compile(r"\S(?:.{%d}\S*|.+)" % WINDOW, re.S)
@@ -106,13 +107,12 @@ def _strings(text: str) -> tuple[set[str], set[str]]:
 
 
 def candidates(texts: list[str], toxic: list[int]) -> set[str]:
-    """Words and beginnings that enough toxic texts hold to mark them."""
+    """Words and beginnings that enough different toxic texts hold to mark them."""
     found: Counter = Counter()
-    for text, label in zip(texts, toxic, strict=True):
-        if label:
-            for strings in _strings(text):
-                found.update(strings)
-            _thinned(found)
+    for text in dict.fromkeys(t for t, label in zip(texts, toxic, strict=True) if label):
+        for strings in _strings(text):
+            found.update(strings)
+        _thinned(found)
     return {w for w, n in found.items() if n >= COMMON_TEXTS}
 
 
@@ -145,7 +145,7 @@ def train_dictionaries(counts: Counts, size: int = 16_000) -> tuple[bytes, bytes
     n, own = counts.texts, []
     for w, b in counts.marks[1].items():
         a = counts.marks[0][w]
-        if b >= max(COMMON_TEXTS, COMMON_SHARE * n[1]) and b / max(1, n[1]) > 4 * a / max(1, n[0]) and (g := _surprise(a, b, *n)) > MARKED:
+        if b >= COMMON_TEXTS and b / max(1, n[1]) > 4 * a / max(1, n[0]) and (g := _surprise(a, b, *n)) > MARKED:
             own.append((g, w))
     marking = {w for _, w in own}
     common = [(a, w) for w, a in counts.words.items() if a >= 3 and w not in marking]

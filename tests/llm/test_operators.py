@@ -351,6 +351,22 @@ def test_toxicity_on_held_out_texts():
     assert 0 <= model.score(model.distances(both, "")) < 0.5
 
 
+def test_toxicity_marks_of_a_rare_language():
+    """A word that 12 of 480 toxic texts hold, and no ordinary one, marks text; one in copies of a single text does not."""
+    rng = random.Random(10)
+    texts = [prose(rng, 40) for _ in range(1500)]
+    texts += [f"{prose(rng, 20)} horrible {prose(rng, 20)}" for _ in range(468)]
+    texts += [f"{prose(rng, 20)} abscheulich {prose(rng, 20)}" for _ in range(12)]
+    labels = [int(i >= 1500) for i in range(len(texts))]
+    texts, labels = texts + [f"{prose(rng, 20)} zwiebelkuchen {prose(rng, 20)}"] * 12, labels + [1] * 12
+    order = rng.sample(range(len(texts)), len(texts))
+    model = toxicity.fit([texts[i] for i in order], [labels[i] for i in order])
+    both = model.compressors()
+    score = lambda w: model.score(model.distances(both, f"{prose(rng, 20)} {w} {prose(rng, 20)}"))
+    assert min(score("abscheulich") for _ in range(20)) >= 0.5 > max(score("fenster") for _ in range(20))
+    assert max(score("zwiebelkuchen") for _ in range(20)) < 0.5
+
+
 def test_toxicity_without_labels(spark, corpus):
     docs = frame(spark, corpus)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
