@@ -4,8 +4,9 @@ One pass over a page's markup gives its blocks of text, and for each block the h
 lies in. Spark counts, for each host, in how many different pages a subtree occurs; blocks in subtrees that recur across
 many pages of a host are deleted. Before that, what an element's name, role, class or id declares to be a menu, header,
 footer, sidebar, notice, advert, form or reader comment goes, and where a page marks its article or main part, only
-that stays. Inside a marked article a recurring subtree goes only if it is no paragraph, heading, list item, quotation,
-table or preformatted text: copies of one article on a host do not delete it. Pages of equal main part count once.
+that stays. Inside a marked article a recurring paragraph, heading, list, list item, quotation, table or preformatted text
+goes only if it stands on most pages of the host: copies of one article do not delete it. Pages of equal main part
+count once.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by \n in page
 order. Null html is empty; an empty page or one without text gives the empty text. Null or odd urls count as one host
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import input_bytes, prepare, written
 
-#: A subtree is a template if it occurs in so many different pages of its host, and in this share of them.
-PAGES, SHARE = 4, 0.2
-#: Template hashes of all hosts are broadcast up to so many bytes on disk, and joined by a shuffle beyond.
+#: A subtree is a template if it occurs in so many different pages of its host, and in this share of them or in MANY.
+PAGES, SHARE, MANY = 4, 0.2, 10
+#: Prose inside an article or main part goes if it occurs in MANY different pages and in this share of them.
+MOST = 0.5
+#: The table of blocks to delete is broadcast up to so many bytes on disk, and joined by a shuffle beyond.
 BROADCAST_BYTES = 16 << 20
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>)""", re.S)
@@ -79,8 +82,9 @@ class _Element:
         self.digest = xxhash.xxh64(tag.encode())
 
 
-def blocks_of(html: str) -> tuple[list[tuple[str, list[int]]], int]:
-    """The page's blocks, each with the hashes of subtrees it lies in that may be templates; and a hash of the main part."""
+def blocks_of(html: str) -> tuple[list[tuple[str, list[int], list[int]]], int]:
+    """The page's blocks, each with the hashes of subtrees it lies in that may be templates and of those that are prose
+    inside a marked part; and a hash of the main part."""
     found: list[tuple[str, int, list[_Element], int]] = []  # text, place, elements, characters of links
     hashes: list[int] = []
     stack = [_Element("html", False, 0, False, -1)]
@@ -194,35 +198,43 @@ def blocks_of(html: str) -> tuple[list[tuple[str, list[int]]], int]:
         if not mains and path and path[-1].tag == "li" and linked > 0.8 * len(joined):
             continue  # a menu's entry
         whole.update(joined.encode())
-        out.append((joined, [hashes[e.own] for e in path if e.tag not in ("body", "html") and not (e.place and (e.tag in PROSE or e.tag in ("article", "main")))]))
+        own = [e for e in path if e.tag not in ("body", "html") and not (e.place and e.tag in ("article", "main"))]
+        prose = [e.place > 0 and e.tag in PROSE for e in own]
+        out.append((joined, [hashes[e.own] for e, x in zip(own, prose, strict=True) if not x], [hashes[e.own] for e, x in zip(own, prose, strict=True) if x]))
     value = whole.intdigest()
     return out, value - (1 << 64) if value >> 63 else value
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("under", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("under", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [blocks_of(h or "") for h in b.column(2).to_pylist()]
             hosts = [host_of(u) for u in b.column(1).to_pylist()]
-            blocks = [[{"text": t, "under": u} for t, u in x] for x, _ in got]
+            blocks = [[{"text": t, "under": u, "prose": p} for t, u, p in x] for x, _ in got]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array([k for _, k in got], pa.int64()), pa.array(blocks, kind)], ["page_id", "url", "host", "page_key", "blocks"])
 
     fields = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return fields.mapInArrow(run, "page_id long, url string, host string, page_key long, blocks array<struct<text string, under array<long>>>")
+    return fields.mapInArrow(run, "page_id long, url string, host string, page_key long, blocks array<struct<text string, under array<long>, prose array<long>>>")
 
 
 def extracted(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     prepare(pages.sparkSession)
-    parsed = written(_parsed(pages), "blocks")
-    under = parsed.select("host", "page_key", F.explode(F.array_distinct(F.flatten(F.col("blocks.under")))).alias("h")).distinct()
-    times = under.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    parsed = written(_parsed(pages).withColumn("row", F.monotonically_increasing_id()), "blocks")
+    blocks = parsed.select("host", "page_key", "row", F.posexplode("blocks").alias("at", "b"))
+    kinds = F.concat(
+        F.transform(F.col("b")["under"], lambda h: F.struct(F.lit(False).alias("inside"), h.alias("h"))),
+        F.transform(F.col("b")["prose"], lambda h: F.struct(F.lit(True).alias("inside"), h.alias("h"))),
+    )
+    under = blocks.select("host", "page_key", "row", "at", F.explode(kinds).alias("k")).select("host", "page_key", "row", "at", "k.inside", "k.h")
+    times = under.select("host", "page_key", "inside", "h").distinct().groupBy("host", "inside", "h").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inside"), MANY).otherwise(least_pages))
     sizes = parsed.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    # a host has at most (subtrees of a page / share) templates
-    templates = written(times.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("gone")), "templates")
-    small = F.broadcast(templates) if input_bytes(templates) <= BROADCAST_BYTES else templates
-    kept = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.coalesce(F.arrays_overlap(b["under"], F.col("gone")), F.lit(False)))
+    recurs = F.when(F.col("inside"), F.col("n") >= MOST * F.col("pages")).otherwise((F.col("n") >= share * F.col("pages")) | (F.col("n") >= MANY))
+    templates = times.join(sizes, "host").where(recurs).select("host", "inside", "h")
+    gone = written(under.join(templates, ["host", "inside", "h"]).groupBy("row").agg(F.collect_set("at").alias("gone")), "gone")
+    small = F.broadcast(gone) if input_bytes(gone) <= BROADCAST_BYTES else gone
+    kept = F.filter("blocks", lambda b, i: F.col("gone").isNull() | ~F.array_contains(F.col("gone"), i))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return parsed.join(small, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return parsed.join(small, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

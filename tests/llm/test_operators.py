@@ -238,6 +238,15 @@ def test_html_extraction(spark):
     assert all(got[10 + i].text == f"page{i} first\npage{i} last" for i in range(6))
 
 
+def test_html_templates_of_large_hosts_and_inside_main(spark):
+    """A notice on 12 of 100 pages of a host, and a menu list and a notice paragraph in the main part of every page."""
+    rows = [(i, f"http://big.host/{i}", f"<body><div>{'<div><p>Sale ends now</p></div>' if i < 12 else ''}<p>page {i} first</p></div><p>page {i} last") for i in range(100)]
+    rows += [(200 + i, f"http://in.main/{i}", f"<body><main><ul><li>Home<li>About us</ul><p>Read our rules</p><h2>Part</h2><p>own text {i}</p>{'<p>a quotation</p>' if i < 5 else ''}</main>") for i in range(12)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"page {i} first\npage {i} last" for i in range(100))
+    assert all(got[200 + i] == f"own text {i}" + ("\na quotation" if i < 5 else "") for i in range(12))
+
+
 def test_media_round_trip(spark, corpus):
     rng = np.random.default_rng(2)
     samples = [b"", b"a", bytes(range(256)) * 9, b"\xff" * 3000, rng.integers(0, 256, 40_000, np.uint8).tobytes()]
