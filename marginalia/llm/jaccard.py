@@ -341,6 +341,17 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = R
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """documents whose doc_id is the least of its class, or null; with their own columns."""
-    gone = joined(documents).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One row of each class of similar texts, that of the least doc_id; rows without words stay. With their own columns.
+
+    Rows with a null doc_id are compared with each other only. Where ids are null or repeated, rows get numbers of their own.
+    """
+    ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        gone = joined(documents).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+        return documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    rows = written(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = rows.select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_id"))
+    classes = joined(own.where("_id is not null").drop("_id")).union(joined(own.where("_id is null").drop("_id")))
+    named = written(classes.select(F.col("doc_id").alias("_row"), "class_id").join(own.select(F.col("doc_id").alias("_row"), "_id"), "_row"), "classes")
+    first = named.groupBy("class_id").agg(F.min(F.struct("_id", "_row")).alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").drop("_row")

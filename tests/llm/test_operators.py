@@ -106,6 +106,18 @@ def test_jaccard_empty_table_and_null_ids(spark):
     assert jaccard.one_of_each(df.union(spark.createDataFrame([(4, "A b c d e f")], df.schema))).count() == 2
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "end"])
+    rows = [(1, a), (7, near + " x"), (7, b), (8, b), (9, c), (9, c), (None, a), (None, near), (None, c), (5, ""), (5, None)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert got.columns == ["doc_id", "text"]
+    got = [tuple(r) for r in got.collect()]
+    assert sorted((i or 0, t or "") for i, t in got if i is not None) == sorted([(1, a), (7, b), (9, c), (5, ""), (5, "")])
+    assert len([t for i, t in got if i is None]) == 2 and (None, c) in got
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
