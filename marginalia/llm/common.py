@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in an Arrow batch; together with the slices below it bounds a Python worker's memory.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: UTF-8 bytes of text that are turned into numpy arrays at a time; one text longer than that stands alone.
 SLICE_BYTES = 1 << 20
 #: Bytes that are hashed at a time.
@@ -26,8 +26,9 @@ _written: list[tuple[object, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds."""
+    """Bound what one Arrow batch holds, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,7 +77,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of written() from which everything that needs them has been written."""
+    for df in tables:
+        drop_path(df.sparkSession, df._written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

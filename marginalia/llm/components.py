@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, class): the least node of each node's component; nodes without an edge to another are absent. edges: long a, b."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     last = _state(e)
+    if not last[0]:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("class"))
     for _ in range(rounds):
         # large star: each node's larger neighbours move to the least of its neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +26,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         # small star: each node's smaller neighbours and itself move to the least of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = written(small, name)
+        before, e = e, written(small, name)
+        dropped(before)
         now = _state(e)
         if now == last:  # stars already
             return e.select(F.col("u").alias("node"), F.col("v").alias("class")).union(e.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())

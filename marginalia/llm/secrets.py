@@ -171,10 +171,23 @@ def scanned(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, mar
     return keep.mapInArrow(run, schema)
 
 
-def redacted(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def redacted(documents: DataFrame, vocabulary: str = VOCABULARY, mark: str = "[secret]") -> DataFrame:
     """documents with every found span replaced in text, n_chars counted anew where it is a column; other rows unchanged."""
-    found = scanned(documents.withColumn("_secrets_row", F.struct("*")).select("_secrets_row", "text"), vocabulary=vocabulary)
-    out = found.select(F.col("_secrets_row").withField("text", F.coalesce("redacted", "text")).alias("_secrets_row")).select("_secrets_row.*")
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return out.select(*documents.columns)
+    prepare(documents.sparkSession)
+    ranks = documents.sparkSession.sparkContext.broadcast(word_ranks(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = ranks.value
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, t in enumerate(texts):
+                if t and (spans := all_spans(t, words)[1]):
+                    texts[i] = redact(t, spans, mark)
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            columns["text"] = pa.array(texts, b.schema.field("text").type)
+            if "n_chars" in columns:
+                counted = zip(texts, columns["n_chars"].to_pylist(), strict=True)
+                columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in counted], b.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return documents.mapInArrow(run, documents.schema)

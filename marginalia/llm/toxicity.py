@@ -237,6 +237,15 @@ def scored(documents: DataFrame, model: Model | None, keep_text: bool = True) ->
 
 
 def kept_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents that the model does not reject, with their own columns."""
-    marked = scored(documents.withColumn("_toxic_score_of", F.struct("*")).select("_toxic_score_of", "text"), fit_labels(documents, labels))
-    return marked.where("predicted = 0").select("_toxic_score_of.*")
+    """documents that the model does not reject, with their own columns; each text is carried once."""
+    prepare(documents.sparkSession)
+    model = fit_labels(documents, labels)
+    if model is None:
+        return documents
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = model.compressors()
+        for b in batches:
+            yield b.filter(pa.array([model.score(model.distances(both, t.as_py() or "")) < 0.5 for t in b.column("text")], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

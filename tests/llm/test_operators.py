@@ -83,6 +83,10 @@ def sets(t):
 @pytest.mark.parametrize("bucket,block", [(1024, 512), (4, 3)])
 def test_jaccard_join(spark, corpus, bucket, block):
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.joined(frame(spark, corpus), bucket=bucket, block=block, depth=2).collect()}
+    assert got == brute_jaccard(corpus)
+
+
+def brute_jaccard(corpus):
     s, root, links = [sets(t) for t in corpus], list(range(len(corpus))), Counter()
 
     def find(x):
@@ -96,7 +100,28 @@ def test_jaccard_join(spark, corpus, bucket, block):
             links[b] += 1
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    assert got == {d: (find(d), links[d]) for d in range(len(corpus))}
+    return {d: (find(d), links[d]) for d in range(len(corpus))}
+
+
+def test_jaccard_of_a_large_group_of_near_copies(spark):
+    """A group of many blocks, and sets that are like some of it only: classes and links equal brute force; few merges are kept."""
+    rng = random.Random(21)
+    base = prose(rng, 90).split()
+
+    def changed(w, n):
+        w = list(w)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = f"x{rng.randrange(10**6)}"
+        return w
+
+    far = [changed(base, 2) for _ in range(3)]
+    texts = [" ".join(changed(base, rng.randrange(3))) for _ in range(150)] + [" ".join(changed(w, rng.randrange(1, 4))) for w in far for _ in range(30)]
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.joined(frame(spark, texts), bucket=16, block=4, depth=1).collect()}
+    assert got == brute_jaccard(texts)
+    copies = [" ".join(changed(base, 1)) for _ in range(300)]  # one word each: what is led needs no pairs of blocks
+    nodes = jaccard._nodes(frame(spark, copies).select("doc_id", "text"), 12, 1, 0.8, 5)
+    assert jaccard.candidate_edges(nodes, bucket=16, depth=1).count() < 6 * len(copies)
 
 
 def test_jaccard_empty_table_and_null_ids(spark):
