@@ -256,7 +256,9 @@ def candidate_edges(nodes: DataFrame, threshold: float = THRESHOLD, bucket: int
     spark = nodes.sparkSession
     led = led_edges(nodes, bucket)
     labels = components(led, "labels").withColumnRenamed("node", "doc_id")
-    rows = _chosen(nodes, 0).select("doc_id", "run", F.xxhash64("run", "t").alias("key")).join(labels, "doc_id", "left").select("doc_id", "run", "key", F.coalesce("class", "doc_id").alias("label"))
+    first = nodes.select("doc_id", F.filter("chosen", lambda x: x["level"] == 0).alias("chosen")).join(labels, "doc_id", "left")
+    first = first.select("doc_id", F.coalesce("class", "doc_id").alias("label"), F.explode("chosen").alias("x"))
+    rows = first.select("doc_id", F.col("x.run").alias("run"), F.xxhash64("x.run", "x.t").alias("key"), "label")
     found, tables, large = None, [], None
     for level in range(1, depth + 1):
         rows = written(rows, f"paths{level}")
