@@ -1,43 +1,48 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text, not by zstandard's own training: one holds the words of ordinary text, the other the same and,
-next to the window, the words and word beginnings that mark toxic text; the first is padded to the same length with
-bytes that match nothing, so that ordinary matches have equal offsets, thus equal costs, under both. A document is cut into windows of whole words; the bytes that
-the toxic dictionary saves on a window are the window's distance. Thresholds and weights on a document's distances
-are calibrated on labelled documents that the dictionaries used there have not seen.
-
-Labels are learned from a bounded sample of labelled rows (`sample_rows`, in the order of a hash of the id; whole
-texts). Null text counts as empty; empty text gets the score of a document without any distance. Without labels of
-both classes every score is 0. Repeated rows get equal scores.
+Two zstandard dictionaries are trained apart by zstandard's own training: one on windows of ordinary text, one on the
+toxic texts' own stretches, that is toxic text without what ordinary text holds about as often (byte strings are
+compared by a likelihood test over texts). Toxic documents are ordinary prose with some toxic words in it, so a window
+is compressed with the ordinary dictionary alone, padded to the same length so that ordinary matches cost the same, and
+with the toxic one put behind it. A document is cut into windows of whole words; the bytes that the toxic dictionary
+saves on a window are the window's distance. Thresholds and weights on a document's distances are calibrated on
+labelled documents that the dictionaries used there have not seen.
+
+Labels are learned from a bounded sample of labelled rows (`SAMPLE_ROWS` rows of `SAMPLE_BYTES` characters at most, in the
+order of a hash of the id; whole texts; of rows that repeat an id the greatest text). Executors train, a task for each
+fold; the driver gets features and dictionaries only. Null text counts as empty; empty text gets the score of a
+document without any distance. Without labels of both classes, and without toxic stretches, every score is 0.
+Repeated rows get equal scores. An empty table gives an empty result. Extra columns are carried along.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, extended, prepare
 
-#: Labelled rows that the model is fitted on, at most.
-SAMPLE_ROWS = 8_000
+#: Labelled rows, and characters of them, that the model is fitted on, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 32_000_000
 #: Characters of a window, about; windows end at a word's end.
 WINDOW = 72
-#: Lengths of word beginnings that may mark toxic text by themselves, and the evidence that a word or beginning needs.
-STEMS, MARKED = (3, 4, 5, 6, 7, 8), 16.0
-#: Different toxic texts that a marking word or beginning occurs in at least: copies of a few texts mark nothing. A number, no
-#: share: with labels enough, a language or topic that few toxic texts belong to has marks of its own.
+#: Lengths of byte strings that are tested; evidence, and times the ordinary rate, that toxic text's own ones need.
+GRAMS, MARKED, OFTENER = (5, 6, 7, 8), 20.0, 6
+#: Different toxic texts that such a string occurs in at least: copies of a few texts mark nothing.
 COMMON_TEXTS = 8
+#: Bytes of the dictionaries, and zstandard's segment and string lengths for training them.
+ORDINARY_SIZE, TOXIC_SIZE, ORDINARY_SEGMENT, TOXIC_SEGMENT, TRAINED = 32_768, 4_096, 64, 32, 6
+FOLDS = 4
 _TO_LOWER = {i: i + 32 for i in range(65, 91)}
-_WORDS = re.compile(r"[^\W\d_]+")
 _WINDOW = re.compile(r"\S(?:.{%d}\S*|.+)" % WINDOW, re.S)
 
 
@@ -80,88 +85,73 @@ def features(distances: np.ndarray, floor: float) -> np.ndarray:
     return np.array([1.0, top[0] / 4, top[1] / 4, top[2] / 4, math.log1p(over.sum()), math.log1p((over**2).sum()), len(over) / max(1, len(distances))])
 
 
-def _surprise(a: int, b: int, n0: int, n1: int) -> float:
+def _grams(data: bytes, n: int) -> np.ndarray:
+    """Each run of n bytes as a number."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint64)
+    m = max(0, len(a) - n + 1)
+    out = np.zeros(m, np.uint64)
+    for j in range(n):
+        out = out << np.uint64(8) | a[j : j + m]
+    return out
+
+
+def _surprise(a: np.ndarray, b: np.ndarray, n0: int, n1: int) -> np.ndarray:
     """Twice the log-likelihood ratio of the two classes having rates of their own."""
-    out = 0.0
+    out = np.zeros(len(a))
     for x, n in ((a, n0), (b, n1)):
         for got, p in ((x, (a + b) / (n0 + n1)), (n - x, 1 - (a + b) / (n0 + n1))):
-            if got:
-                out += 2 * got * math.log(got / (n * p))
+            out += np.where(got > 0, 2 * got * np.log(np.maximum(got, 1) / np.maximum(n * p, 1e-9)), 0)
+    return out
+
+
+def own_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The stretches of the toxic texts that are covered by byte strings of toxic text's own."""
+    covered = [np.zeros(len(t), bool) for t in toxic]
+    for n in GRAMS:
+        of = [_grams(t, n) for t in toxic]
+        strings, b = np.unique(np.concatenate([np.unique(g) for g in of]), return_counts=True)
+        strings, b = strings[b >= COMMON_TEXTS], b[b >= COMMON_TEXTS]
+        if not len(strings):
+            continue
+        a = np.zeros(len(strings), np.int64)
+        for t in ordinary:
+            x = _grams(t, n)
+            at = np.minimum(np.searchsorted(strings, x), len(strings) - 1)
+            a[np.unique(at[strings[at] == x])] += 1
+        own = strings[(b / len(toxic) > OFTENER * a / len(ordinary)) & (_surprise(a, b, len(ordinary), len(toxic)) > MARKED)]
+        if not len(own):
+            continue
+        for g, c in zip(of, covered, strict=True):
+            hits = np.flatnonzero(own[np.minimum(np.searchsorted(own, g), len(own) - 1)] == g)
+            for j in range(n):
+                c[hits + j] = True
+    out = []
+    for t, c in zip(toxic, covered, strict=True):
+        cuts = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]])))
+        out += [t[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)]
     return out
 
 
-#: Strings of which a counter keeps those seen once; beyond it they are dropped, so the driver's memory is bounded.
-HELD = 200_000
-
-
-def _thinned(counter: Counter) -> None:
-    if len(counter) > HELD:
-        for w in [w for w, n in counter.items() if n == 1]:
-            del counter[w]
-
-
-def _strings(text: str) -> tuple[set[str], set[str]]:
-    """Distinct words of a text, and distinct beginnings that are no words of it."""
-    seen = set(_WORDS.findall(text.translate(_TO_LOWER)))
-    return seen, {w[:k] for w in seen for k in STEMS if k < len(w)} - seen
-
-
-def candidates(texts: list[str], toxic: list[int]) -> set[str]:
-    """Words and beginnings that enough different toxic texts hold to mark them."""
-    found: Counter = Counter()
-    for text in dict.fromkeys(t for t, label in zip(texts, toxic, strict=True) if label):
-        for strings in _strings(text):
-            found.update(strings)
-        _thinned(found)
-    return {w for w, n in found.items() if n >= COMMON_TEXTS}
-
-
-class Counts:
-    """In how many texts of each class each candidate occurs, and in how many ordinary ones each word."""
-
-    def __init__(self, texts: list[str] = (), toxic: list[int] = (), wanted: set[str] = frozenset()):
-        self.texts, self.marks, self.words = [0, 0], (Counter(), Counter()), Counter()
-        for text, label in zip(texts, toxic, strict=True):
-            seen, stems = _strings(text)
-            self.texts[label] += 1
-            self.marks[label].update(wanted & seen)
-            self.marks[label].update(wanted & stems)
-            if not label:
-                self.words.update(seen)
-                _thinned(self.words)
-
-    def plus(self, others: list[Counts]) -> Counts:
-        for o in others:
-            for c in (0, 1):
-                self.texts[c] += o.texts[c]
-                self.marks[c].update(o.marks[c])
-            self.words.update(o.words)
-            _thinned(self.words)
-        return self
-
-
-def train_dictionaries(counts: Counts, size: int = 16_000) -> tuple[bytes, bytes]:
-    """Raw-content dictionaries (toxic, ordinary). A word or beginning is toxic text's own if far more of its texts hold it."""
-    n, own = counts.texts, []
-    for w, b in counts.marks[1].items():
-        a = counts.marks[0][w]
-        if b >= COMMON_TEXTS and b / max(1, n[1]) > 4 * a / max(1, n[0]) and (g := _surprise(a, b, *n)) > MARKED:
-            own.append((g, w))
-    marking = {w for _, w in own}
-    common = [(a, w) for w, a in counts.words.items() if a >= 3 and w not in marking]
-    # of strings that begin alike the one with most evidence, so that marks hold no ordinary word endings
-    own.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
-    best, kept, begun = [], set(), set()
-    for g, w in own:
-        if w not in begun and not any(w[:k] in kept for k in range(3, len(w))):
-            best.append((g, w))
-            kept.add(w)
-            begun.update(w[:k] for k in range(1, len(w)))
-    own = best + [(0.0, w) for _, w in own if any(w[:-k] in kept for k in (1, 2) if len(w) > k)]  # longer matches of short beginnings
-    join = lambda found, most: " ".join(w for _, w in reversed(sorted(found, reverse=True)[:most])).encode()
-    ordinary = b" " + join(common, size // 8)[-size:]
-    marks = b" " + join(own, size // 8)[-size // 2 :] + b" "
-    return ordinary + marks, ordinary + bytes(len(marks))
+def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
+    """A dictionary by zstandard's training; samples too few for that are the dictionary themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=TRAINED).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def train_dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes] | None:
+    """Raw-content dictionaries (toxic, ordinary) of equal length; None where toxic text has nothing of its own. Copies count once."""
+    apart = [[t for t in dict.fromkeys(t for t, label in zip(texts, toxic, strict=True) if label == c) if t] for c in (0, 1)]
+    if not all(apart):
+        return None
+    ordinary, of_toxic = ([t.translate(_TO_LOWER).encode() for t in c] for c in apart)
+    own = own_stretches(of_toxic, ordinary)
+    if not own:
+        return None
+    marks = _trained(TOXIC_SIZE, [b" " + x.strip() + b" " for x in own], TOXIC_SEGMENT)
+    base = _trained(ORDINARY_SIZE, [w for t in apart[0] for w in windows(t)], ORDINARY_SEGMENT)
+    return base + marks, base + bytes(len(marks))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -175,48 +165,70 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], toxic: list[int], folds: int = 4) -> Model | None:
-    """Dictionaries from all texts; floor and weights from distances under dictionaries that lack the text's fold."""
-    if len(set(toxic)) < 2:
+def fold_of(texts: list[str], toxic: list[int], mine: list[bool]) -> tuple[tuple[bytes, bytes] | None, list[np.ndarray]]:
+    """Dictionaries from the texts that are not `mine`, and the distances of those that are."""
+    both = train_dictionaries([t for t, m in zip(texts, mine, strict=True) if not m], [x for x, m in zip(toxic, mine, strict=True) if not m])
+    if both is None:
+        return None, [np.zeros(0) for m in mine if m]
+    model = Model(*both, 0, (0,))
+    compressors = model.compressors()
+    return both, [model.distances(compressors, t) for t, m in zip(texts, mine, strict=True) if m]
+
+
+def calibrated(both: tuple[bytes, bytes] | None, apart: list[np.ndarray], toxic: list[int]) -> Model | None:
+    """A model with the floor and weights that fit distances of unseen texts best."""
+    if both is None or len(set(toxic)) < 2:
         return None
-    part = np.arange(len(texts)) % folds
-    wanted = candidates(texts, toxic)
-    counts = [Counts([texts[i] for i in np.flatnonzero(part == f)], [toxic[i] for i in np.flatnonzero(part == f)], wanted) for f in range(folds)]
-    apart: list[np.ndarray] = [np.zeros(0)] * len(texts)
-    for f in range(folds):
-        seen = Counts().plus([c for g, c in enumerate(counts) if g != f])
-        if not all(seen.texts):
-            continue
-        model = Model(*train_dictionaries(seen), 0, (0,))
-        both = model.compressors()
-        for i in np.flatnonzero(part == f):
-            apart[i] = model.distances(both, texts[i])
     y, best = np.array(toxic, float), None
     for floor in (0, 1, 2, 3, 4):
         x = np.array([features(d, floor) for d in apart])
         w = _fit(x, y)
-        p = np.clip(1 / (1 + np.exp(-x @ w)), 1e-6, 1 - 1e-6)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
         loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
         if best is None or loss < best[0]:
             best = (loss, floor, tuple(w))
-    return Model(*train_dictionaries(Counts().plus(counts)), best[1], best[2])
+    return Model(*both, best[1], best[2])
+
+
+def fit(texts: list[str], toxic: list[int], folds: int = FOLDS) -> Model | None:
+    """Dictionaries from all texts; floor and weights from distances under dictionaries that lack the text's fold."""
+    if len(set(toxic)) < 2:
+        return None
+    apart, labels = [], []
+    for f in range(folds):
+        mine = [i % folds == f for i in range(len(texts))]
+        apart += fold_of(texts, toxic, mine)[1]
+        labels += [x for x, m in zip(toxic, mine, strict=True) if m]
+    return calibrated(train_dictionaries(texts, toxic), apart, labels)
 
 
-def fit_labels(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model from labelled documents whose crc32(id) mod 5 is not 0, `sample_rows` at most."""
+def fit_labels(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, folds: int = FOLDS) -> Model | None:
+    """A model from labelled documents whose crc32(id) mod 5 is not 0: `sample_rows` and `sample_bytes` at most, a task for each fold."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = list({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, r.text))}.values())
-    rows.sort(key=lambda r: (hash_order(r.doc_id), r.doc_id))
-    return fit([r.text for r in rows], [int(r.toxic > 0) for r in rows])
-
-
-def hash_order(i: int) -> int:
-    return (int(i) * 0x9E3779B97F4A7C15 >> 13) & 0xFFFFFFFF
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    place = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of sample_rows rows at most
+    sample = rows.withColumn("place", F.row_number().over(place)).withColumn("upto", F.sum(F.length("text")).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sample = sample.where(F.col("upto") <= sample_bytes).select((F.col("place") % folds).alias("part"), "place", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    dealt = sample.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds))))  # fold `folds` has no text of its own: the model's dictionaries
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        fold, texts, toxic, part = table.column("fold")[0].as_py(), table.column("text").to_pylist(), table.column("toxic").to_pylist(), table.column("part").to_pylist()
+        mine = [p == fold for p in part]
+        both, apart = fold_of(texts, toxic, mine)
+        dictionaries = both if both and fold == folds else (b"", b"")
+        own = json.dumps([[d.tolist(), x] for d, x in zip(apart, [x for x, m in zip(toxic, mine, strict=True) if m], strict=True)])
+        return pa.table({"fold": pa.array([fold], pa.int32()), "toxic": pa.array([dictionaries[0]], pa.binary()), "ordinary": pa.array([dictionaries[1]], pa.binary()), "apart": pa.array([own])})
+
+    got = sorted(dealt.groupBy("fold").applyInArrow(run, "fold int, toxic binary, ordinary binary, apart string").collect(), key=lambda r: r.fold)
+    if not got or not got[-1].toxic:
+        return None
+    apart = [(np.array(d), x) for r in got for d, x in json.loads(r.apart)]
+    return calibrated((bytes(got[-1].toxic), bytes(got[-1].ordinary)), [d for d, _ in apart], [x for _, x in apart])
 
 
 def scored(documents: DataFrame, model: Model | None, keep_text: bool = True) -> DataFrame:
