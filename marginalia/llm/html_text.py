@@ -1,18 +1,22 @@
 r"""HTML extraction with site template removal.
 
-One pass over a page's markup gives its blocks of text, and for each block the hashes of the element subtrees that it
-lies in. Spark counts, for each host, in how many different pages a subtree occurs; blocks in subtrees that recur across
-many pages of a host are deleted. Before that, what an element's name, role, class or id declares to be a menu, header,
-footer, sidebar, notice, advert, form or reader comment goes, and where a page marks its article or main part, only
-that stays. Inside a marked article a recurring paragraph, heading, list, list item, quotation, table or preformatted text
-goes only if it stands on most pages of the host: copies of one article do not delete it. Pages of equal main part
-count once.
+One pass over a page's markup gives its blocks of text, and its element subtrees: a hash of each and the run of blocks
+that it covers. Spark counts, for each host, in how many different pages a subtree occurs; blocks in subtrees that recur
+across many pages of a host are deleted, whatever the subtrees are called. Of what is left, and where a host has too few
+pages to count on, what an element's name, role, class or id declares to be a menu, header, footer, sidebar, notice,
+advert, form or reader comment goes too, and where a page marks its article or main part, only that stays. Inside a marked
+article a recurring paragraph, heading, list, list item, quotation, table or preformatted text goes only if it stands on
+most pages of the host: copies of one article do not delete it. Pages of equal main part count once. Columns n_template
+and n_declared say how many blocks of the page each of the two steps took.
+
+Of nested subtrees that cover the same blocks the innermost counts, which recurs at least as often; so a page gives no
+more subtrees than blocks allow, however deeply it nests, and the work is linear in its length.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by \n in page
-order. Null html is empty; an empty page or one without text gives the empty text. Null or odd urls count as one host
-of their own. Broken markup is read as browsers do where that matters for text: paragraphs and list items end where the
-next begins, unclosed elements end with the page, an unclosed script or comment hides the rest. Repeated rows are each
-returned. Extra columns are ignored.
+order. Null html is empty; an empty page or one without text gives the empty text; an empty table gives an empty result.
+Null or odd urls count as one host of their own. Broken markup is read as browsers do where that matters for text:
+paragraphs and list items end where the next begins, unclosed elements end with the page, an unclosed script or comment
+hides the rest. Repeated rows are each returned. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -75,42 +80,57 @@ def _declared(attributes: str, inside: bool) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "gone", "place", "heads", "digest", "own")
+    __slots__ = ("tag", "gone", "place", "heads", "digest", "first")
 
-    def __init__(self, tag: str, gone: bool, place: int, heads: bool, own: int):
-        self.tag, self.gone, self.place, self.heads, self.own = tag, gone, place, heads, own
+    def __init__(self, tag: str, gone: bool, place: int, heads: bool, first: int):
+        self.tag, self.gone, self.place, self.heads, self.first = tag, gone, place, heads, first
         self.digest = xxhash.xxh64(tag.encode())
 
 
-def blocks_of(html: str) -> tuple[list[tuple[str, list[int], list[int]]], int]:
-    """The page's blocks, each with the hashes of subtrees it lies in that may be templates and of those that are prose
-    inside a marked part; and a hash of the main part."""
-    found: list[tuple[str, int, list[_Element], int]] = []  # text, place, elements, characters of links
-    hashes: list[int] = []
-    stack = [_Element("html", False, 0, False, -1)]
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def blocks_of(html: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, bool]], int]:
+    """The page's blocks (text, whether declared to be no main text); its subtrees (hash, first block, past the last block,
+    whether they are prose inside a marked part); a hash of the main part."""
+    found: list[tuple[str, int, str, int, bool]] = []  # text, place, innermost tag, characters of links, declared
+    trees: list[tuple[int, int, int, bool]] = []
+    stack = [_Element("html", False, 0, False, 0)]
+    opened: dict[str, int] = {}
     text: list[str] = []
-    links = place = places = 0
+    away: list[str] = []  # text of a declared element inside a block
+    links = places = 0
     marked: dict[int, str] = {}  # marked parts of the page: number, tag
     in_link = False
 
+    def emit(pieces: list[str], linked: int, declared: bool) -> None:
+        joined = " ".join("".join(pieces).split())
+        pieces.clear()
+        if joined:
+            top = stack[-1]
+            top.digest.update(joined.encode())
+            found.append((joined, top.place, top.tag, linked, declared))
+
     def flush() -> None:
         nonlocal links
-        if text:
-            joined = " ".join("".join(text).split())
-            text.clear()
-            if joined:
-                top = stack[-1]
-                top.digest.update(joined.encode())
-                found.append((joined, top.place, stack[1:], links))
-        links = 0
+        if away:
+            emit(away, 0, True)
+        if text and not stack[-1].gone:
+            emit(text, links, False)
+            links = 0
 
     def close(n: int) -> None:
         while len(stack) > n:
             flush()
             e = stack.pop()
+            opened[e.tag] -= 1
             value = e.digest.intdigest()
-            stack[-1].digest.update(value.to_bytes(8, "big"))
-            hashes[e.own] = value - (1 << 64) if value >> 63 else value
+            stack[-1].digest.update(e.tag.encode() if e.gone and not stack[-1].gone else value.to_bytes(8, "big"))
+            if e.first < len(found) and e.tag not in ("body", "html") and not (e.place and e.tag in ("article", "main")):
+                tree = (_signed(value), e.first, len(found), e.place > 0 and e.tag in PROSE)
+                if not trees or trees[-1][1:] != tree[1:]:
+                    trees.append(tree)
 
     at, end = 0, len(html)
     while at < end:
@@ -118,8 +138,10 @@ def blocks_of(html: str) -> tuple[list[tuple[str, list[int], list[int]]], int]:
         piece = html[at : m.start() if m else end]
         if piece:
             top = stack[-1]
-            if not top.gone and not (top.heads and top.tag not in HEADINGS):
-                piece = unescape(piece) if "&" in piece else piece
+            piece = unescape(piece) if "&" in piece else piece
+            if top.gone or top.heads and top.tag not in HEADINGS:
+                away.append(piece)
+            else:
                 text.append(piece)
                 if in_link:
                     links += len(piece)
@@ -132,20 +154,20 @@ def blocks_of(html: str) -> tuple[list[tuple[str, list[int], list[int]]], int]:
         if shut:
             if tag == "a":
                 in_link = False
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    close(n)
-                    break
-                if stack[n].tag in ("table", "td", "th") and tag != "table" or stack[n].tag in BLOCKS and tag not in BLOCKS and tag not in GONE:
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+            if opened.get(tag):
+                for n in range(len(stack) - 1, 0, -1):
+                    if stack[n].tag == tag:
+                        close(n)
+                        break
+                    if stack[n].tag in ("table", "td", "th") and tag != "table" or stack[n].tag in BLOCKS and tag not in BLOCKS and tag not in GONE:
+                        break
+            elif tag in BLOCKS and (tag == "table" or not opened.get("table")):
+                flush()
             if tag in ("td", "th"):
-                text.append(" ")
+                (away if stack[-1].gone else text).append(" ")
             continue
         if tag in ("br", "img", "td", "th", "input"):
-            text.append(" ")
+            (away if stack[-1].gone else text).append(" ")
             continue
         if tag == "hr":
             flush()
@@ -160,13 +182,14 @@ def blocks_of(html: str) -> tuple[list[tuple[str, list[int], list[int]]], int]:
             continue
         if block:
             flush()
-            for n in range(len(stack) - 1, 0, -1):  # a paragraph ends where a block begins
-                if stack[n].tag == "p":
-                    close(n)
-                    break
-                if stack[n].tag in ("table", "button"):
-                    break
-            if tag in _ENDS:
+            if opened.get("p"):
+                for n in range(len(stack) - 1, 0, -1):  # a paragraph ends where a block begins
+                    if stack[n].tag == "p":
+                        close(n)
+                        break
+                    if stack[n].tag in ("table", "button"):
+                        break
+            if tag in _ENDS and any(opened.get(t) for t in _ENDS[tag][0].split()):
                 names, within = _ENDS[tag]
                 for n in range(len(stack) - 1, 0, -1):
                     if stack[n].tag in within:
@@ -185,56 +208,73 @@ def blocks_of(html: str) -> tuple[list[tuple[str, list[int], list[int]]], int]:
             places += 1
             place = places
             marked[place] = tag
-        hashes.append(0)
-        stack.append(_Element(tag, gone, place, top.heads or (tag == "header" and place > 0), len(hashes) - 1))
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(_Element(tag, gone, place, top.heads or (tag == "header" and place > 0), len(found)))
     close(1)
     flush()
-    filled = {p for _, p, _, _ in found}
+    filled = {p for _, p, _, _, declared in found if not declared}
     mains = {p for p, t in marked.items() if t != "article" and p in filled} or {p for p in marked if p in filled}
     out, whole = [], xxhash.xxh64()
-    for joined, p, path, linked in found:
-        if mains and p not in mains:
-            continue
-        if not mains and path and path[-1].tag == "li" and linked > 0.8 * len(joined):
-            continue  # a menu's entry
-        whole.update(joined.encode())
-        own = [e for e in path if e.tag not in ("body", "html") and not (e.place and e.tag in ("article", "main"))]
-        prose = [e.place > 0 and e.tag in PROSE for e in own]
-        out.append((joined, [hashes[e.own] for e, x in zip(own, prose, strict=True) if not x], [hashes[e.own] for e, x in zip(own, prose, strict=True) if x]))
-    value = whole.intdigest()
-    return out, value - (1 << 64) if value >> 63 else value
+    for joined, p, tag, linked, declared in found:
+        # not in a main part, or a menu's entry
+        declared = declared or bool(mains) and p not in mains or not mains and tag == "li" and linked > 0.8 * len(joined)
+        if not declared:
+            whole.update(joined.encode())
+        out.append((joined, declared))
+    return out, trees, _signed(whole.intdigest())
+
+
+_ROW = "page_id long, url string, host string, page_key long, texts array<string>, declared array<boolean>, trees array<struct<h long, a int, b int, inside boolean>>"
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("under", pa.list_(pa.int64())), ("prose", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("inside", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [blocks_of(h or "") for h in b.column(2).to_pylist()]
             hosts = [host_of(u) for u in b.column(1).to_pylist()]
-            blocks = [[{"text": t, "under": u, "prose": p} for t, u, p in x] for x, _ in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array([k for _, k in got], pa.int64()), pa.array(blocks, kind)], ["page_id", "url", "host", "page_key", "blocks"])
+            trees = [[dict(zip(("h", "a", "b", "inside"), t, strict=True)) for t in x] for _, x, _ in got]
+            columns = [pa.array(hosts, pa.string()), pa.array([k for *_, k in got], pa.int64()), pa.array([[t for t, _ in x] for x, *_ in got], pa.list_(pa.string())), pa.array([[d for _, d in x] for x, *_ in got], pa.list_(pa.bool_())), pa.array(trees, kind)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["page_id", "url", "host", "page_key", "texts", "declared", "trees"])
 
     fields = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return fields.mapInArrow(run, "page_id long, url string, host string, page_key long, blocks array<struct<text string, under array<long>, prose array<long>>>")
+    return fields.mapInArrow(run, _ROW)
+
+
+def _cut(rows: DataFrame, lists: bool) -> DataFrame:
+    """page_id, url, text and counts of rows with gone, the runs of blocks that templates cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, sizes, templates, others = [], [], [], []
+            for blocks, declared, gone in zip(*(b.column(c).to_pylist() for c in ("texts", "declared", "gone")), strict=True):
+                steps = np.zeros(len(blocks) + 1, np.int64)
+                for g in gone or ():
+                    steps[g["a"]] += 1
+                    steps[g["b"]] -= 1
+                recurs = np.cumsum(steps)[:-1] > 0
+                left = np.array(declared, bool) & lists & ~recurs
+                text = "\n".join(t for t, r, d in zip(blocks, recurs, left, strict=True) if not (r or d))
+                texts.append(text)
+                sizes.append(len(text))
+                templates.append(int(recurs.sum()))
+                others.append(int(left.sum()))
+            added = [pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in (sizes, templates, others))]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *added], ["page_id", "url", "text", "n_chars", "n_template", "n_declared"])
+
+    return rows.select("page_id", "url", "texts", "declared", "gone").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_template long, n_declared long")
 
 
-def extracted(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars."""
+def extracted(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE, lists: bool = True) -> DataFrame:
+    """One row per row of pages: page_id, url, text, n_chars, n_template, n_declared. lists: whether declared blocks go."""
     prepare(pages.sparkSession)
     parsed = written(_parsed(pages).withColumn("row", F.monotonically_increasing_id()), "blocks")
-    blocks = parsed.select("host", "page_key", "row", F.posexplode("blocks").alias("at", "b"))
-    kinds = F.concat(
-        F.transform(F.col("b")["under"], lambda h: F.struct(F.lit(False).alias("inside"), h.alias("h"))),
-        F.transform(F.col("b")["prose"], lambda h: F.struct(F.lit(True).alias("inside"), h.alias("h"))),
-    )
-    under = blocks.select("host", "page_key", "row", "at", F.explode(kinds).alias("k")).select("host", "page_key", "row", "at", "k.inside", "k.h")
+    under = parsed.select("host", "page_key", "row", F.explode("trees").alias("t")).select("host", "page_key", "row", "t.h", "t.a", "t.b", "t.inside")
     times = under.select("host", "page_key", "inside", "h").distinct().groupBy("host", "inside", "h").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inside"), MANY).otherwise(least_pages))
-    sizes = parsed.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    sizes = written(parsed.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
     recurs = F.when(F.col("inside"), F.col("n") >= MOST * F.col("pages")).otherwise((F.col("n") >= share * F.col("pages")) | (F.col("n") >= MANY))
     templates = times.join(sizes, "host").where(recurs).select("host", "inside", "h")
-    gone = written(under.join(templates, ["host", "inside", "h"]).groupBy("row").agg(F.collect_set("at").alias("gone")), "gone")
+    gone = written(under.join(templates, ["host", "inside", "h"]).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone")), "gone")
     small = F.broadcast(gone) if input_bytes(gone) <= BROADCAST_BYTES else gone
-    kept = F.filter("blocks", lambda b, i: F.col("gone").isNull() | ~F.array_contains(F.col("gone"), i))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return parsed.join(small, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return _cut(parsed.join(small, "row", "left"), lists)

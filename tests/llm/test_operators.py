@@ -284,6 +284,29 @@ def test_html_templates_of_large_hosts_and_inside_main(spark):
     assert all(got[200 + i] == f"own text {i}" + ("\na quotation" if i < 5 else "") for i in range(12))
 
 
+def test_html_templates_by_brute_force(spark):
+    """Names declare nothing: what recurs goes, what does not stays, as a count of each subtree over the pages of a host says."""
+    rng = random.Random(31)
+    notices, menu = [prose(rng, 12) for _ in range(3)], [prose(rng, 2) for _ in range(4)]
+    rows, expected = [], {}
+    for i in range(45):
+        host = ("a.example", "b.example", "c.example")[i % 3]
+        own = [prose(rng, 15, 10**6) for _ in range(3)]
+        shown = "".join(f"<li>{m}</li>" for m in menu) if host != "c.example" else f"<li>{prose(rng, 3, 10**6)}</li>"
+        rows.append((i, f"http://{host}/{i}", f"<div><ul>{shown}</ul></div><div><p>{own[0]}</p><div><div><p>{notices[i // 3 % 3]}</p></div></div><p>{own[1]}</p></div><section><p>{own[2]}</section>"))
+        left = [own[0], own[1], own[2]]
+        expected[i] = "\n".join(([re.sub("<[^>]*>", "", shown)] if host == "c.example" else []) + left)
+    got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"), lists=False).collect()
+    assert {r.page_id: r.text for r in got} == expected
+    assert all(r.n_template > 0 and r.n_declared == 0 for r in got)
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_nesting_is_linear():
+    blocks, trees, _ = html_text.blocks_of("<div>" * 100_000 + "deep" + "</div>" * 100_000)
+    assert blocks == [("deep", False)] and len(trees) == 1
+
+
 def test_media_round_trip(spark, corpus):
     rng = np.random.default_rng(2)
     samples = [b"", b"a", bytes(range(256)) * 9, b"\xff" * 3000, rng.integers(0, 256, 40_000, np.uint8).tobytes()]
