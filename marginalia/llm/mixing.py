@@ -4,11 +4,12 @@ A source is cut into blocks of `block_rows` documents in a seeded random order.
 released at slot floor(j / w) and due by slot ceil((j + 1) / w), both from the exact weights. Slots are given out
 earliest deadline first among released blocks, which keeps every source within one block of slot * w at all times until
 it runs out, however many slots there are. A source that has run out leaves its slots empty; nothing is dropped or
-repeated. The schedule is one sequence: one task makes it, in steps of one block, and holds a block of each source only.
+repeated. The schedule is one sequence: one task makes it, in steps of one block, and holds a block of each source only;
+the driver gets counts of sources and blocks, never the sources.
 
 Null is a source of its own, named by the empty key in `weights`. Empty tables give an empty result. Repeated rows
-stay repeated. Ties go to the source that sorts first. Weights that are not above zero and more than MOST_SOURCES
-sources are errors.
+stay repeated; rows of one id are ordered by a hash of what they hold, so a task that runs again ranks them alike. Ties
+go to the source that sorts first. Weights that are not above zero are errors. Names of extra columns may be any.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD, BLOCK_ROWS, MOST_SOURCES = 1024, 16, 1 << 14
+PERIOD, BLOCK_ROWS = 1024, 16
 #: Blocks that the scheduling task hands on at a time.
 PLAN_ROWS = 10_000
 #: Rows that one task ranks, about.
@@ -82,34 +84,41 @@ def mixed(df: DataFrame, weights: dict[str, float] | None = None, source: str =
     weights: target weight of each source; those not named, or all without weights, get size ** temperature.
     Columns of the new names are replaced.
     """
+    exact(weights or {"": 1.0})  # bad weights are refused at once
     spark = df.sparkSession
     keep = df.drop("mix_block", "mix_slot", "mix_place", "mix_order")
+    own_ = "_mix"  # a beginning that no column of df has
+    while any(c.lower().startswith(own_) for c in df.columns):
+        own_ += "_"
+    src, rank, t, h, part, n, before_n, inside_n = (f"{own_}_{x}" for x in ("source", "rank", "t", "h", "range", "n", "before", "in"))
     own = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    sizes = {r.s: r.n for r in df.groupBy(own.alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if not sizes:
-        return keep.select("*", *[F.lit(None).cast("long").alias(n) for n in ("mix_block", "mix_slot", "mix_place", "mix_order")])
-    slots = exact({s: (weights or {}).get(s, float(n) ** temperature) for s, n in sizes.items()})
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-
-    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in itertools.batched(schedule(slots, blocks), PLAN_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], ["_mix_source", "mix_block", "_mix_t"])
-
-    plan = spark.range(0, 1, 1, 1).mapInArrow(run, "_mix_source string, mix_block long, _mix_t long")
-    plan = F.broadcast(plan) if sum(blocks.values()) <= BROADCAST_ROWS else plan.hint("merge")
-    parts = max(1, -(-max(sizes.values()) // RANKED_ROWS)) if len(sizes) == 1 else max(1, -(-sum(sizes.values()) // RANKED_ROWS))
+    sizes = df.groupBy(own.alias("s")).agg(F.count("*").alias("n"))
+    figures = sizes.agg(F.count("*").alias("sources"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.sum(F.ceil(F.col("n") / F.lit(block_rows))).alias("blocks")).first()
+    if not figures.sources:
+        return keep.select("*", *[F.lit(None).cast("long").alias(x) for x in ("mix_block", "mix_slot", "mix_place", "mix_order")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {s: c for b in batches for s, c in zip(b.column("s").to_pylist(), b.column("n").to_pylist(), strict=True)}
+        if not held:
+            return
+        slots = exact({s: (weights or {}).get(s, float(c) ** temperature) for s, c in held.items()})
+        for some in itertools.batched(schedule(slots, {s: -(-c // block_rows) for s, c in held.items()}), PLAN_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], [src, "mix_block", t])
+
+    plan = sizes.repartition(1).mapInArrow(run, f"{src} string, mix_block long, {t} long")
+    plan = F.broadcast(plan) if figures.blocks <= BROADCAST_ROWS else plan.hint("merge")
+    parts = max(1, -(-(figures.most if figures.sources == 1 else figures.rows) // RANKED_ROWS))
     parts = max(parts, spark.sparkContext.defaultParallelism * 4)
     # rank within a source without sending it to one task: rank within hash ranges, plus what earlier ranges hold
-    drawn = keep.select("*", own.alias("_mix_source"), F.xxhash64(F.lit(seed), F.col(key)).alias("_mix_h"))
-    drawn = drawn.withColumn("_mix_range", F.floor((F.col("_mix_h") / F.lit(2.0**64) + 0.5) * parts).cast("int"))
-    held = drawn.groupBy("_mix_source", "_mix_range").agg(F.count("*").alias("_mix_n"))
-    before = held.select("_mix_source", "_mix_range", (F.sum("_mix_n").over(Window.partitionBy("_mix_source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_mix_n")).alias("_mix_before"))
-    inside = F.row_number().over(Window.partitionBy("_mix_source", "_mix_range").orderBy("_mix_h", key))
-    before = F.broadcast(before) if len(sizes) * parts <= BROADCAST_ROWS else before
-    at = drawn.withColumn("_mix_in", inside).join(before, ["_mix_source", "_mix_range"]).withColumn("_mix_rank", F.col("_mix_in") + F.col("_mix_before") - 1)
-    at = at.withColumn("mix_block", F.floor(F.col("_mix_rank") / block_rows)).withColumn("mix_place", F.col("_mix_rank") % block_rows)
-    at = at.join(plan, ["_mix_source", "mix_block"])
-    at = at.withColumn("mix_slot", F.col("_mix_t")).withColumn("mix_order", F.col("mix_slot") * block_rows + F.col("mix_place"))
-    return at.select(*keep.columns, *[F.col(n).cast("long").alias(n) for n in ("mix_block", "mix_slot", "mix_place", "mix_order")])
+    hashed = [c for c, kind in keep.dtypes if not re.search("map<|variant", kind)]
+    drawn = keep.select("*", own.alias(src), F.xxhash64(F.lit(seed), F.col(key)).alias(h))
+    drawn = drawn.withColumn(part, F.floor((F.col(h) / F.lit(2.0**64) + 0.5) * parts).cast("int"))
+    held = drawn.groupBy(src, part).agg(F.count("*").alias(n))
+    before = held.select(src, part, (F.sum(n).over(Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(n)).alias(before_n))
+    inside = F.row_number().over(Window.partitionBy(src, part).orderBy(h, key, F.xxhash64(*hashed)))
+    before = F.broadcast(before) if figures.sources * parts <= BROADCAST_ROWS else before
+    at = drawn.withColumn(inside_n, inside).join(before, [src, part]).withColumn(rank, F.col(inside_n) + F.col(before_n) - 1)
+    at = at.withColumn("mix_block", F.floor(F.col(rank) / block_rows)).withColumn("mix_place", F.col(rank) % block_rows)
+    at = at.join(plan, [src, "mix_block"])
+    at = at.withColumn("mix_slot", F.col(t)).withColumn("mix_order", F.col("mix_slot") * block_rows + F.col("mix_place"))
+    return at.select(*keep.columns, *[F.col(x).cast("long").alias(x) for x in ("mix_block", "mix_slot", "mix_place", "mix_order")])

@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and values in a credential's context that would be costly to guess.
 
 A value's guess cost is the least sum, over its segmentations, of the costs of words, dates, repeats, sequences,
-keyboard walks and brute-force spans (log10 of guesses), found by dynamic programming over the whole value. Values
-that cost at least `LIMIT` are added to the pattern spans; pattern spans always stay.
+keyboard walks and brute-force spans (log10 of guesses), found by dynamic programming. Words are as long as the
+vocabulary has them; runs and repeated units have any length. Values that cost at least `LIMIT` are added to the pattern
+spans; pattern spans always stay. As soon as every segmentation must have reached `enough`, that is the answer.
 
 Null text counts as empty; empty text has no spans. Repeated rows get equal results. Texts and values of any length
-are scanned whole; the work on a value is linear in its length.
+are scanned whole. An empty table gives an empty result. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "login")
 #: log10 of guesses from which a value counts as a secret.
 LIMIT = 10.0
-#: Longest segment that is tried as a word, walk, date or sequence.
-SPAN = 24
+#: Key of the longest word's length in a table of ranks; no value holds it.
+LONGEST = "\n"
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?\d{1,2}[-/._]?\d{1,2}|\d{1,2}[-/._]?\d{1,2}[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d)\Z")
@@ -45,7 +46,8 @@ def word_ranks(path: str = VOCABULARY) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = (t[:-4] for t in sorted(vocab, key=vocab.get) if t.endswith("</w>"))
-    return {w: i for i, w in enumerate((w for w in words if len(w) >= 3 and w.isascii() and w.isalpha()), 1)}
+    ranks = {w: i for i, w in enumerate((w for w in words if len(w) >= 3 and w.isascii() and w.isalpha()), 1)}
+    return ranks | {LONGEST: max(map(len, ranks), default=0)}
 
 
 def _neighbours() -> set[tuple[str, str]]:
@@ -70,14 +72,28 @@ def _alphabet(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs."""
+def _square(text: str, j: int, least: int) -> int:
+    """Length of the shortest unit of `least` characters or more that stands twice up to j; 0 if none does."""
+    at = j - least
+    while at > 0 and (at := text.rfind(text[j - least : j], 0, at + least - 1)) >= 0:
+        k = j - least - at
+        if 2 * k > j:
+            return 0
+        if k >= least and text[j - 2 * k : j - k] == text[j - k : j]:
+            return k
+    return 0
+
+
+def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of value needs, or a number from `enough` up that it is not below."""
     n, low = len(value), value.lower()
+    longest = max(10, ranks.get(LONGEST, 0) or max(map(len, ranks), default=0))
     best = [0.0] * (n + 1)
-    walk = step = same = 0  # lengths of runs that end here: keyboard walk, sequence, repeated character
+    walk = step = same = unit = repeated = 0  # lengths of runs that end here: keyboard walk, sequence, repeated character, repeated unit
     delta = None
     plain = low.translate(_LEET)
     per = max(map(_alphabet, set(value)), default=0)
+    over = 0  # positions up to here whose cost is enough
     for j in range(1, n + 1):
         cost = best[j - 1] + per
         if j > 1:
@@ -89,7 +105,16 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
         for run, base in ((step + 1, math.log10(60)), (walk + 1, math.log10(94)), (same + 1, math.log10(94))):
             if run >= 3:  # a run's any end part is a run too
                 cost = min(cost, best[j - run] + base + math.log10(run))
-        for k in range(3, min(SPAN, j) + 1):
+        if unit and low[j - 1] == low[j - 1 - unit]:
+            repeated += 1
+        else:
+            unit = _square(low, j, 2)
+            repeated = 2 * unit
+        if unit:  # a unit that comes again and again
+            times = repeated // unit
+            i = j - times * unit
+            cost = min(cost, best[i] + (best[i + unit] - best[i] if best[i + unit] > best[i] else per) + math.log10(times))
+        for k in range(3, min(longest, j) + 1):
             i = j - k
             rank = ranks.get(low[i:j])
             if rank is not None:
@@ -99,9 +124,10 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
                 cost = min(cost, best[i] + 0.6 + math.log10(ranks[plain[i:j]] + 1) + math.log10(2) * sum(a != b for a, b in zip(plain[i:j], low[i:j], strict=True)))
             if 4 <= k <= 10 and low[i].isdigit() and low[j - 1].isdigit() and _DATE.match(low[i:j]):
                 cost = min(cost, best[i] + (math.log10(120) if k == 4 else math.log10(365 * 120)))
-            if k % 2 == 0 and low[i : i + k // 2] == low[i + k // 2 : j]:  # a unit that comes twice
-                cost = min(cost, best[i] + (best[i + k // 2] - best[i] if best[i + k // 2] > best[i] else per) + math.log10(2))
         best[j] = cost
+        over = over + 1 if cost >= enough else 0
+        if over > longest and not (step or walk or same or unit):  # all that is still to come starts at one of these
+            return min(best[j - longest : j + 1])
     return best[n]
 
 
@@ -123,7 +149,7 @@ def all_spans(text: str, ranks: dict[str, int]) -> tuple[list[tuple[int, int, in
     low = text.lower()
     added = []
     if any(h in low for h in HINTS):
-        added = [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks) >= LIMIT]
+        added = [(m.start(1), 3, m.end(1)) for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks, LIMIT) >= LIMIT]
     return base, sorted(base + added)
 
 

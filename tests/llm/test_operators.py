@@ -264,6 +264,18 @@ def test_guess_cost_orders_values():
     assert cost("passwordpassword") < cost("passwordxkvjqzwy") and cost("f3b0c44298fc1c149afbf4c8") > secrets.LIMIT
 
 
+def test_guess_cost_of_long_units_and_long_values():
+    ranks = secrets.word_ranks()
+    unit = "kq7zp0vmw3xj9"  # no word; 13 characters
+    assert secrets.guess_cost(unit * 4, ranks) < secrets.guess_cost(unit, ranks) + 1
+    rng = random.Random(5)
+    for _ in range(200):
+        v = "".join(rng.choice(["ab", "password", "2019", "qwerty", "x7", "aaa", "Q", unit]) for _ in range(rng.randrange(1, 8)))
+        assert (secrets.guess_cost(v, ranks, 10.0) >= 10.0) == (secrets.guess_cost(v, ranks) >= 10.0)
+    assert secrets.guess_cost("".join(rng.choice("abcdefghij0123456789") for _ in range(200_000)), ranks, 10.0) >= 10.0
+    assert secrets.guess_cost("ab" * 50_000, ranks, 10.0) < 10.0
+
+
 def test_html_extraction(spark):
     page = "<html><body class=menu-open><nav><li>menu</nav><div id=promo>buy</div><article><h1>T &amp; U</h1><p>a<br>b <i>c</i>&nbsp;d<p>e</article><div class=comments><p>hi</div><footer>f</footer><script>x='</p>'</script>"
     plain = "<html><body><div><p>{0} first</p></div><div class=x><p>Subscribe here now</p></div><p>{0} last"
@@ -398,6 +410,15 @@ def test_mixing_deviation_from_the_targets_over_many_periods(spark):
         mixing.mixed(df, {"a": 0.0})
 
 
+def test_mixing_with_clashing_names_and_repeated_ids(spark):
+    rows = [(i % 7, f"t{i}", f"s{i % 3}", i, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_h long, mix_slot long")
+    got = mixing.mixed(df, block_rows=4).collect()
+    assert sorted(r._mix_h for r in got) == list(range(200)) and len({r.mix_order for r in got}) == 200
+    again = mixing.mixed(df.repartition(7), block_rows=4).collect()
+    assert {r.text: r.mix_order for r in got} == {r.text: r.mix_order for r in again}
+
+
 def test_mixing_keeps_every_row(spark, corpus):
     df = frame(spark, corpus * 3)
     got = mixing.mixed(df.union(spark.createDataFrame([(0, None, None, None, None)], DOCS)), block_rows=4).collect()
