@@ -18,6 +18,10 @@ TATWEEL = "ـ"
 ALEFS = ("أإآٱ", "اااا")
 DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 CONTROLS = "​-‏‪-‮⁠-⁩﻿"
+#: Brackets that may enclose a note's number, and its digits.
+NOTE_OPEN, NOTE_CLOSE, NOTE_DIGITS = r"(\[{﴿（", r")\]}﴾）", "0-9٠-٩۰-۹"
+#: The narrower class of marks that author, facet and link folds remove.
+VOWEL_MARKS = "\u064b-\u065f\u0670\u06d6-\u06ed"
 
 
 def _unmarked(c: Column) -> Column:
@@ -31,7 +35,7 @@ def _lower(c: Column) -> Column:
 
 def search_fold(c: Column) -> Column:
     """Bracketed digits, marks and separators go, then lower case; alef and yeh forms are one; teh marbuta stays."""
-    c = F.regexp_replace(c, r"[(\[{][0-9٠-٩۰-۹]+[)\]}]", " ")
+    c = F.regexp_replace(c, rf"(?U)[{NOTE_OPEN}]\s*[{NOTE_DIGITS}]+\s*[{NOTE_CLOSE}]", " ")
     c = F.trim(F.regexp_replace(_unmarked(c), r"[^\p{L}\p{N}]+", " "))
     return F.translate(_lower(c), ALEFS[0] + "ى", ALEFS[1] + "ي")
 
@@ -53,13 +57,6 @@ def root_letters(c: Column) -> Column:
     return F.regexp_replace(c, "[^ء-ي]", "")
 
 
-def link_fold(c: Column, hamza: bool = True) -> Column:
-    """Tags and entities go, only Arabic letters stay; without hamza too, if so asked."""
-    c = F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "&[A-Za-z#0-9]+;", "")
-    c = F.regexp_replace(c, "[^ء-غف-ي]", "")
-    return c if hamza else F.regexp_replace(c, "ء", "")
-
-
 def reader_fold(c: Column) -> Column:
     """Persian yeh and kaf as Arabic, then the search fold."""
     return search_fold(F.translate(c, "یک", "يك"))
@@ -76,12 +73,22 @@ def _normal(form: str):
 nfc, nfkc, nfkd = (_normal(f) for f in ("NFC", "NFKC", "NFKD"))
 
 
+def link_fold(c: Column, hamza: bool = True) -> Column:
+    """Tags and entities are space; letters lose marks, alef and yeh forms; only Arabic letters stay; without hamza too, if so asked."""
+    c = nfkd(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "&[^;]+;", " "))
+    c = F.translate(F.regexp_replace(c, f"[{VOWEL_MARKS}]", ""), ALEFS[0] + "ى", ALEFS[1] + "ي")
+    c = F.regexp_replace(c, "[^ء-غف-ي]", "")
+    return c if hamza else F.regexp_replace(c, "ء", "")
+
+
 def author_fold(c: Column) -> Column:
-    c = F.regexp_replace(nfkd(c), "[ً-ٰٟـ̀-ͯ]", "")
+    c = F.regexp_replace(nfkd(c), f"[{VOWEL_MARKS}{TATWEEL}]", "")
     return F.lower(F.trim(F.regexp_replace(F.translate(c, ALEFS[0] + "ىؤئة", ALEFS[1] + "يويه"), r"[^\p{L}\p{N}]+", " ")))
 
 
-def verse_fold(c: Column, marks: bool = False) -> Column:
+def verse_fold(c: Column, marks: bool = False, dagger: bool = False) -> Column:
+    """marks: vowel marks stay. dagger: the small alef counts as alef."""
+    c = F.translate(c, "\u0670", "ا") if dagger else c
     c = F.regexp_replace(nfc(c), TATWEEL, "")
     c = F.translate(c, ALEFS[0] + "ىئؤ", ALEFS[1] + "ييو")
     c = c if marks else F.regexp_replace(c, f"[{MARKS}]", "")
@@ -93,12 +100,14 @@ def broad_fold(c: Column) -> Column:
 
 
 def facet_fold(c: Column) -> Column:
-    c = F.regexp_replace(nfkd(c), f"[{MARKS}{TATWEEL}̀-ͯ]", "")
-    return F.lower(F.trim(F.regexp_replace(F.translate(c, ALEFS[0] + "ىة", ALEFS[1] + "يه"), r"(?U)\s+", " ")))
+    c = F.regexp_replace(nfkd(c), f"[{VOWEL_MARKS}{TATWEEL}]", "")
+    return F.lower(F.trim(F.regexp_replace(F.translate(c, ALEFS[0] + "ىة", ALEFS[1] + "يه"), r"[^\p{L}\p{N}]+", " ")))
 
 
 def aligner_fold(c: Column) -> Column:
-    return F.trim(F.regexp_replace(_lower(_unmarked(F.regexp_replace(nfkc(c), f"[{CONTROLS}]", ""))), r"(?U)\s+", " "))
+    c = F.translate(_unmarked(nfkc(c)), ALEFS[0] + "ىة", ALEFS[1] + "يه")
+    c = F.regexp_replace(c, "[\u200b-\u200f\u202a-\u202e\u2066-\u2069]", "")
+    return F.lower(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))
 
 
 def memory_key(c: Column) -> Column:
@@ -122,5 +131,14 @@ def work_key(c: Column) -> Column:
 
 
 def base_title(c: Column) -> Column:
-    """Title without a trailing edition note after a dash."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s*[-–—]\s*(ط|ت|تحقيق|طبعة|edition|ed\.)[^-–—]*$", ""))
+    """Title without what follows a dash and a word for edition or verification."""
+    c = F.trim(nfkc(c))
+    cut = F.regexp_extract(c, r"(?U)^(.*?)\s+[\-–—]\s+(?:ط|ت|طبعة|تحقيق)(?=\s|$).+$", 1)
+    return F.trim(F.when(cut != "", cut).otherwise(c))
+
+
+def title_key(c: Column) -> Column:
+    """Work titles and author names of editions: marks go, punctuation and space collapse."""
+    c = F.regexp_replace(nfkc(c), f"[\u064b-\u065f\u0670{TATWEEL}]", "")
+    c = F.regexp_replace(c, r"""[()\[\]{}«»"'،,:؛.!؟/_-]+""", " ")
+    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import grams
+
 #: Fixed values of the 32-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
@@ -20,28 +22,72 @@ def fnv1a(text: Column) -> Column:
 
 
 def bucket(text: Column, count: int) -> Column:
-    """The zero-padded bucket of a value."""
-    return F.lpad((fnv1a(text) % count).cast("string"), len(str(count - 1)), "0")
+    """The zero-padded bucket of a value: four digits or more."""
+    return F.lpad((fnv1a(text) % count).cast("string"), max(4, len(str(max(0, count - 1)))), "0")
+
+
+def gram_buckets(word: Column, count: int = 512) -> Column:
+    """Distinct buckets of a word's trigrams: every word that holds it is in each of them."""
+    return F.array_distinct(F.transform(grams(word), lambda g: fnv1a(g) % count))
+
+
+#: Fixed values of the second hash, bits for each position and probes.
+SECOND_SEED, SECOND_PRIME, BITS_EACH, PROBES = 0x9E3779B9, 0x85EBCA6B, 16, 10
 
 
-def bloom_positions(bits: int, probes: int = 10):
-    """UDF(id, position) -> probe positions by double hashing in 32-bit arithmetic."""
+def _probes(ids: pd.Series, at: pd.Series, bits: np.ndarray) -> np.ndarray:
+    """PROBES positions for each (id, position), in 32-bit arithmetic; one character of all keys at a time."""
+    keys = [f"{i}:{int(p)}" for i, p in zip(ids, at, strict=True)]
+    sizes = np.array([len(k) for k in keys], np.int64)
+    letters = np.zeros((len(keys), int(sizes.max(initial=0))), np.uint32)
+    for r, k in enumerate(keys):
+        letters[r, : len(k)] = np.frombuffer(k.encode("utf-32-le"), np.uint32)
+    a, b = np.full(len(keys), FNV_OFFSET, np.uint32), np.full(len(keys), SECOND_SEED, np.uint32)
+    for i in range(letters.shape[1]):
+        own = i < sizes
+        a = np.where(own, (a ^ letters[:, i]) * np.uint32(FNV_PRIME), a)
+        mixed = (b ^ letters[:, i]) * np.uint32(SECOND_PRIME)
+        b = np.where(own, mixed ^ (mixed >> np.uint32(13)), b)
+    steps = np.arange(PROBES, dtype=np.uint32)[None, :] * (b | np.uint32(1))[:, None]
+    return (a[:, None] + steps).astype(np.int64) % np.asarray(bits, np.int64).reshape(-1, 1)
+
+
+def bloom_positions(bits: int):
+    """UDF(id, position) -> the probed bits of a filter of so many bits."""
 
     @F.pandas_udf("array<long>")
     def run(ids: pd.Series, at: pd.Series) -> pd.Series:
-        out = []
-        for i, p in zip(ids, at, strict=True):
-            a, b = np.uint32(FNV_OFFSET), np.uint32(0x9E3779B9)
-            with np.errstate(over="ignore"):
-                for ch in f"{i}:{p}":
-                    a = np.uint32((int(a) ^ ord(ch)) * FNV_PRIME & 0xFFFFFFFF)
-                    b = np.uint32((int(b) ^ ord(ch)) * 0x85EBCA6B & 0xFFFFFFFF)
-            out.append([(int(a) + k * (int(b) | 1)) % bits for k in range(probes)])
-        return pd.Series(out)
+        return pd.Series(list(_probes(ids, at, np.array([bits]))))
 
     return run
 
 
+def bloom_filters(positions: DataFrame) -> DataFrame:
+    """(word, n, bits, byte, value): a filter for each word over its (doc_id, pos), as the bytes that are not zero."""
+
+    @F.pandas_udf("array<long>")
+    def probed(ids: pd.Series, at: pd.Series, bits: pd.Series) -> pd.Series:
+        return pd.Series(list(_probes(ids, at, bits.to_numpy())))
+
+    sizes = positions.groupBy("word").agg(F.count("*").alias("n")).select("word", "n", (F.ceil(F.col("n") * BITS_EACH / 8) * 8).cast("long").alias("bits"))
+    on = positions.join(sizes, "word").select("word", "n", "bits", F.explode(probed(F.col("doc_id").cast("string"), F.col("pos").cast("long"), "bits")).alias("bit"))
+    return on.groupBy("word", "n", "bits", F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("value"))
+
+
+def bloom_members(filters: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (word, doc_id, pos) with `may`: whether all probed bits are on. False is certain."""
+
+    @F.pandas_udf("array<long>")
+    def probed(ids: pd.Series, at: pd.Series, bits: pd.Series) -> pd.Series:
+        return pd.Series(list(_probes(ids, at, bits.to_numpy())))
+
+    sizes = filters.select("word", "bits").distinct()
+    bits = asked.join(sizes, "word").select("word", "doc_id", "pos", F.explode(probed(F.col("doc_id").cast("string"), F.col("pos").cast("long"), "bits")).alias("bit"))
+    found = bits.withColumn("byte", F.floor(F.col("bit") / 8)).join(filters.select("word", "byte", "value"), ["word", "byte"], "left")
+    on = F.coalesce(F.col("value").bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0, F.lit(False))
+    return found.groupBy("word", "doc_id", "pos").agg(F.bool_and(on).alias("may"))
+
+
 def canonical_hash(columns: list[str]) -> Column:
     """Hash of a row as JSON with sorted keys."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.folds import verse_fold
 from marginalia.functions.text import bounded_levenshtein, occurrences
 from marginalia.plans.views import folded
 
@@ -18,7 +19,7 @@ class Query:
 
 
 def parse_query(raw: str, fold=lambda s: " ".join(s.lower().split()), most: int = 1024) -> Query:
-    """Quoted phrases, -exclusions and backslash escapes; exclusions of equal fold count once."""
+    """Quoted phrases, -exclusions and backslash escapes; exclusions are folded, those of equal fold count once."""
     if len(raw) > most:
         raise ValueError(f"a query has at most {most} characters")
     words: list[tuple[str, bool]] = []
@@ -41,10 +42,15 @@ def parse_query(raw: str, fold=lambda s: " ".join(s.lower().split()), most: int
     seen: dict[str, str] = {}
     for w, m in words:
         if m and fold(w):
-            seen.setdefault(fold(w), w)
+            seen.setdefault(fold(w), fold(w))
     return Query(" ".join(w for w, m in words if not m), tuple(seen.values()))
 
 
+def quoted(part: str) -> str:
+    """A pattern for the literal, whatever signs it holds."""
+    return "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in part)
+
+
 def excluded(text: Column, parts: tuple[str, ...]) -> Column:
     """Whether none of the parts is in text."""
     out = F.lit(True)
@@ -90,18 +96,25 @@ def heading_search(words: DataFrame, tokens: list[str]) -> DataFrame:
     return rows.groupBy("doc_id", "start").agg(F.count_distinct("i").alias("n")).where(F.col("n") == n).drop("n")
 
 
-def verse_ranking(verses: DataFrame, query: str, text: str = "folded") -> DataFrame:
-    """Score: exact 100, token prefix 92, substring 86, letters in order 68, else 60 - 5 x distance (2 at most) to a token."""
-    c, q = F.col(text), F.lit(query)
-    tokens = F.split(c, " ")
-    close = F.filter(F.array_distinct(tokens), lambda t: F.abs(F.length(t) - len(query)) <= 2)
-    near = F.array_min(F.transform(close, lambda t: bounded_levenshtein(t, q, 2)))
-    letters = ".*".join(query.replace(" ", ""))
-    score = (
-        F.when(c == q, 100).when(F.exists(tokens, lambda t: F.startswith(t, q)), 92).when(F.contains(c, q), 86)
-        .when(c.rlike(letters), 68).when(near <= 2, 60 - 5 * near)
-    )
-    return verses.withColumn("score", score.cast("int")).where("score is not null")
+def verse_ranking(verses: DataFrame, query: str, text: str = "text", marks: bool = False, fuzzy: bool = True, most: int = 1) -> DataFrame:
+    """verses with score: exact 100, token prefix 92, substring 86, letters in order in a short verse 68, else 60 - 5 x
+    distance (`most` at most) to a token. Each in the verse fold, with the small alef left out or read as alef; queries of
+    one letter find nothing. query: in the verse fold."""
+    if len(query) < 2:
+        return verses.withColumn("score", F.lit(None).cast("int")).where(F.lit(False))
+    q, most = F.lit(query), min(2, max(1, most))
+    forms = verses.withColumn("_a", verse_fold(F.col(text), marks)).withColumn("_b", verse_fold(F.col(text), marks, True))
+    a, b = F.col("_a"), F.col("_b")
+    tokens = F.array_distinct(F.concat(F.split(a, " "), F.split(b, " ")))
+    score = F.when((a == q) | (b == q), 100).when(F.exists(tokens, lambda t: F.startswith(t, q)), 92).when(F.contains(a, q) | F.contains(b, q), 86)
+    if fuzzy and len(query) >= 3:
+        letters = "(?s)" + ".*".join(quoted(c) for c in query)
+        compact = [F.regexp_replace(c, r"(?U)\s", "") for c in (a, b)]
+        score = score.when((F.least(F.length(a), F.length(b)) <= 2 * len(query) + 2) & (compact[0].rlike(letters) | compact[1].rlike(letters)), 68)
+    if fuzzy and len(query) >= 4:
+        near = F.array_min(F.transform(F.filter(tokens, lambda t: F.abs(F.length(t) - len(query)) <= most), lambda t: bounded_levenshtein(t, q, most)))
+        score = score.when(near <= most, 60 - 5 * near)
+    return forms.withColumn("score", score.cast("int")).where("score is not null").drop("_a", "_b")
 
 
 def counted(hits: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
@@ -112,7 +125,7 @@ def counted(hits: DataFrame, order: list[Column], offset: int, limit: int) -> Da
 
 def in_book(docs: DataFrame, part: str) -> DataFrame:
     """(doc_id, nth, start, end): all non-overlapping occurrences of a literal in the folded text."""
-    pieces = docs.select("doc_id", F.split(folded(F.col("text")), rf"\Q{part}\E", -1).alias("p"))
+    pieces = docs.select("doc_id", F.split(folded(F.col("text")), quoted(part), -1).alias("p"))
     sizes = F.transform("p", lambda x: F.length(x))
     starts = pieces.where(F.size("p") > 1).select("doc_id", F.posexplode(F.slice(sizes, F.lit(1), F.size("p") - 1)).alias("nth", "gap"))
     w = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -68,13 +68,17 @@ def stable_batches(df: DataFrame, by: str, ts: str, quiet_ms: int = 500) -> Data
 
 
 def resolved_aliases(df: DataFrame, hops: int = 8) -> DataFrame:
-    """(alias, target, hops): alias chains followed to their end; a chain still open after `hops` steps has target null."""
-    out = df.select("alias", F.col("target").alias("at"), F.lit(1).alias("hops"))
+    """(alias, target, hops): alias chains followed to their end; a cycle and a chain of more than `hops` steps are errors."""
     step = df.select(F.col("alias").alias("_from"), F.col("target").alias("_to"))
-    for _ in range(hops - 1):
-        out = out.join(step, out["at"] == step["_from"], "left").select("alias", F.coalesce("_to", "at").alias("at"), (F.col("hops") + F.col("_to").isNotNull().cast("int")).alias("hops"))
-    ended = out.join(step, out["at"] == step["_from"], "left")
-    return ended.select("alias", F.when(F.col("_to").isNull(), F.col("at")).alias("target"), "hops")
+    out = df.select("alias", F.col("target").alias("at"), F.array("alias", "target").alias("seen"))
+    for _ in range(hops):
+        out = out.join(step, out["at"] == step["_from"], "left")
+        again = F.array_contains("seen", F.col("_to"))
+        after = F.when(again, F.raise_error(F.concat(F.lit("alias cycle at "), F.col("alias").cast("string")))).otherwise(F.array_append("seen", F.col("_to")))
+        out = out.select("alias", F.coalesce("_to", "at").alias("at"), F.when(F.col("_to").isNull(), F.col("seen")).otherwise(after).alias("seen"))
+    count = F.size("seen") - 1
+    checked = F.when(count > hops, F.raise_error(F.concat(F.lit("alias hop limit at "), F.col("alias").cast("string"))).cast("int")).otherwise(count)
+    return out.select("alias", F.col("at").alias("target"), checked.alias("hops"))
 
 
 def reconciled(mappings: DataFrame, observed: DataFrame) -> DataFrame:

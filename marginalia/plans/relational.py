@@ -242,16 +242,9 @@ both("fn_15_scalars", """
 SELECT doc_id, substr(source, 4) AS n, instr(text, 'the') AS at, coalesce(nullif(lang, 'en'), 'xx') AS l, greatest(n_chars, 100) AS g, CAST(substr(source, 4) AS INT) AS i FROM documents""")
 both("fn_17_age", "SELECT o_orderkey, 2024 - extract(year FROM o_orderdate) AS age FROM orders")
 # --- stateful decisions as ordered projections -------------------------------------------------------
-both("str_1_event_normalisation", """
-SELECT event_id, CASE event_type WHEN 'click' THEN 'upsert' WHEN 'view' THEN 'upsert' WHEN 'purchase' THEN 'replace' WHEN 'signup' THEN 'move' ELSE 'remove' END AS op FROM events WHERE value IS NOT NULL""")
-both("str_3_revision_decision", """
-SELECT e.event_id, CASE WHEN p.event_id IS NULL THEN 'create' WHEN e.value = p.value THEN 'unchanged' WHEN e.event_type = p.event_type THEN 'replay' WHEN e.value < p.value THEN 'conflict' ELSE 'reuse' END AS decision
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) p ON p.user_id = e.user_id AND p.k = e.k - 1""")
 both("str_4_state_machine", """
 WITH allowed AS (SELECT 'O' AS a, 'P' AS b UNION ALL SELECT 'P', 'F' UNION ALL SELECT 'O', 'F')
 SELECT x.o_custkey, x.o_orderkey, x.prev, x.o_orderstatus AS next, allowed.a IS NOT NULL AS ok FROM (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders) x LEFT JOIN allowed ON allowed.a = x.prev AND allowed.b = x.o_orderstatus WHERE x.prev IS NOT NULL""")
-both("str_5_enqueue_replay", """
-SELECT user_id, value, count(*) AS n, count(DISTINCT event_type) > 1 AS conflicting FROM events GROUP BY user_id, value""")
 both("str_7_claim", """
 SELECT o_orderkey, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 8 THEN 'blocked' ELSE 'leased' END AS state FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 9 AS attempts FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 9 < 8) j ORDER BY o_orderdate, o_orderkey LIMIT 25""")
 both("str_8_supersession", """
@@ -281,14 +274,10 @@ SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1993-01-01 00:00:00' THEN
 # --- search as relations -----------------------------------------------------------------------------
 both("flt_3_substring", "SELECT doc_id, ordinal, instr(folded, 'tion') AS at FROM paragraphs WHERE folded LIKE '%tion%'")
 both("flt_2_exclusions", "SELECT doc_id, ordinal FROM paragraphs WHERE folded LIKE '%the%' AND NOT (folded LIKE '%and%' OR folded LIKE '%with%')")
-both("flt_15_partial_tokens", """
-SELECT w.doc_id, w.pos FROM words w JOIN words v ON v.doc_id = w.doc_id AND v.pos = w.pos + 1 WHERE w.word LIKE '%he' AND v.word LIKE 'th%'""")
 both("joi_9_phrase_adjacency", """
 SELECT doc_id, start FROM (SELECT doc_id, pos - CASE word WHEN 'of' THEN 0 ELSE 1 END AS start, word FROM words WHERE word IN ('of', 'the')) c GROUP BY doc_id, start HAVING count(DISTINCT word) = 2""")
 both("joi_10_posting_intersection", """
 SELECT doc_id FROM words WHERE word IN ('the', 'and', 'with') GROUP BY doc_id HAVING count(DISTINCT word) = 3""")
-both("joi_16_shingle_votes", """
-SELECT d.doc_id, b.item_id, count(*) AS votes FROM grams20 d JOIN bench20 b ON b.gram = d.gram GROUP BY d.doc_id, b.item_id HAVING count(*) >= 2""")
 both("sch_3_term_search", """
 SELECT doc_id, pos, count(*) OVER () AS total FROM words WHERE word = 'that' ORDER BY doc_id % 1400, doc_id, pos LIMIT 50""")
 both("sch_13_structural", """
@@ -337,8 +326,6 @@ SELECT f.path, CASE WHEN g.ident IS NULL THEN 'created' ELSE 'renamed' END AS ki
 UNION ALL SELECT g.path, 'deleted', NULL FROM gone g WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.ident = g.ident)""")
 both("agg_35_edition_difference", """
 SELECT a.doc_id, a.lang = b.lang AS same_lang, a.source = b.source AS same_source, a.n_chars - b.n_chars AS d_chars FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
-both("agg_43_verse_ranges", """
-SELECT surah, count(*) AS n, min(lo) AS first_verse, max(hi) AS last_verse FROM (SELECT doc_id % 114 + 1 AS surah, doc_id % 50 AS lo, n_chars % 50 AS hi FROM documents) r WHERE lo <= hi GROUP BY surah""")
 both("win_9_last_heading", """
 SELECT doc_id, ordinal, max(CASE WHEN length(text) < 40 THEN ordinal END) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading_at FROM paragraphs""")
 both("sch_2_smallest_bucket", """
@@ -354,13 +341,11 @@ both("sch_20_category_scope", """
 SELECT p.doc_id, p.ordinal FROM paragraphs p WHERE p.folded LIKE '%and%' AND p.doc_id IN (SELECT l.doc_id FROM labels l WHERE l.quality = 1)""")
 both("sch_21_facet_narrowing", """
 SELECT d.lang, d.source, count(*) AS n FROM documents d JOIN paragraphs p ON p.doc_id = d.doc_id WHERE d.lang IN ('en', 'de') AND p.folded LIKE '%er%' GROUP BY d.lang, d.source""")
-both("sch_23_root_lookup", """
-SELECT doc_id, pos FROM words WHERE substr(word, 1, 3) = 'the' AND length(word) > 3""")
 both("sch_26_segment_phrases", """
 SELECT conv_id, turn, CAST((length(t) - length(replace(t, 'the ', ''))) / 4 AS INT) AS n FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations) c WHERE t LIKE '%the %'""")
 both("str_6_lease_recovery", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderkey % 9 >= 8 THEN 'blocked' WHEN o_orderdate < TIMESTAMP '1995-01-01 00:00:00' AND o_orderstatus = 'P' THEN 'recovered' WHEN o_orderstatus = 'P' THEN 'leased' ELSE 'ready' END AS state FROM orders""")
-both("str_14_snapshot_fence", """
-SELECT a.n = b.n AND a.s = b.s AS unchanged FROM (SELECT count(*) AS n, max(o_orderkey) AS s FROM orders) a CROSS JOIN (SELECT count(*) AS n, max(o_orderkey) AS s FROM orders) b""")
 both("str_20_undo", """
 SELECT e.event_id, e.value AS now_value, p.value AS undone_to, e.event_id = n.newest AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) e JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) p ON p.user_id = e.user_id AND p.k = e.k - 1 JOIN (SELECT user_id, max(event_id) AS newest FROM events GROUP BY user_id) n ON n.user_id = e.user_id""")
+both("flt_15_partial_tokens", """
+SELECT doc_id, pos FROM (SELECT doc_id, pos, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM words) w WHERE word LIKE '%he' AND following LIKE 'th%'""")

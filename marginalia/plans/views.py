@@ -31,18 +31,26 @@ def grid20(documents: DataFrame) -> DataFrame:
     return f.select("doc_id", F.explode(F.regexp_extract_all("f", F.lit("(?s).{20}"), F.lit(0))).alias("gram"))  # linear, unlike substring() by position
 
 
-def sliding20(benchmark: DataFrame) -> DataFrame:
-    """Every 20 characters of the folded text: the probes."""
-    f = benchmark.select("item_id", folded(F.col("text")).alias("f")).where(F.length("f") >= 20)
-    return f.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("f") - 19), lambda i: F.substring("f", i, 20))).alias("gram")).distinct()
+def probes60(benchmark: DataFrame) -> DataFrame:
+    """(item_id, at, gram, whole): at every place of the folded text 20 characters, and the 60 that a vote needs."""
+    f = benchmark.select("item_id", folded(F.col("text")).alias("f")).where(F.length("f") >= 60)
+    whole = F.transform(F.sequence(F.lit(1), F.length("f") - 59), lambda i: F.substring("f", i, 60))
+    return f.select("item_id", F.posexplode(whole).alias("at", "whole")).withColumn("gram", F.substring("whole", 1, 20))
+
+
+def shingle_votes(documents: DataFrame, benchmark: DataFrame, least: int = 2) -> DataFrame:
+    """(doc_id, item_id, votes): places of an item whose 20 characters are a piece of the document's grid and whose 60 the document holds."""
+    met = probes60(benchmark).join(grid20(documents).distinct(), "gram").select("doc_id", "item_id", "at", "whole")
+    texts = documents.select("doc_id", folded(F.col("text")).alias("f"))
+    return met.join(texts, "doc_id").where(F.contains("f", F.col("whole"))).groupBy("doc_id", "item_id").agg(F.count("*").alias("votes")).where(F.col("votes") >= least)
 
 
 _FOLD = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 DUCK = {
-    "paragraphs": "SELECT doc_id, i - 1 AS ordinal, ls[i] AS text, " + _FOLD.format("ls[i]") + " AS folded FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) a) b WHERE trim(ls[i]) <> ''",
-    "words": "SELECT doc_id, i - 1 AS pos, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split(" + _FOLD.format("text") + ", ' ') AS ws FROM documents) a) b WHERE ws[i] <> ''",
+    "paragraphs": "SELECT doc_id, ordinal, text, " + _FOLD.format("text") + " AS folded FROM (SELECT doc_id, unnest(range(len(ls))) AS ordinal, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) a) b WHERE trim(text) <> ''",
+    "words": "SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM (SELECT doc_id, string_split(" + _FOLD.format("text") + ", ' ') AS ws FROM documents) a) b WHERE word <> ''",
     "grams20": "SELECT doc_id, substr(f, CAST(i * 20 + 1 AS BIGINT), 20) AS gram FROM (SELECT doc_id, f, unnest(range(0, length(f) // 20)) AS i FROM (SELECT doc_id, " + _FOLD.format("text") + " AS f FROM documents) a) b",
-    "bench20": "SELECT DISTINCT item_id, substr(f, i, 20) AS gram FROM (SELECT item_id, f, unnest(range(1, length(f) - 18)) AS i FROM (SELECT item_id, " + _FOLD.format("text") + " AS f FROM benchmark) a) b",
+    "probes60": "SELECT item_id, place, substr(f, place, 20) AS gram, substr(f, place, 60) AS whole FROM (SELECT item_id, f, unnest(range(1, length(f) - 58)) AS place FROM (SELECT item_id, " + _FOLD.format("text") + " AS f FROM benchmark) a) b",
 }
 
 
@@ -53,9 +61,9 @@ def mentioned(sql: str, names) -> list[str]:
 def register(spark: SparkSession, sf_dir: str, sql: str) -> None:
     """Temporary views of the tables and derived views that sql mentions."""
     derived = mentioned(sql, DUCK)
-    base = set(mentioned(sql, TABLES)) | {"documents" for d in derived if d != "bench20"} | {"benchmark" for d in derived if d == "bench20"}
+    base = set(mentioned(sql, TABLES)) | {"documents" for d in derived if d != "probes60"} | {"benchmark" for d in derived if d == "probes60"}
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in base}
-    make = {"paragraphs": lambda: paragraphs(frames["documents"]), "words": lambda: words(frames["documents"]), "grams20": lambda: grid20(frames["documents"]), "bench20": lambda: sliding20(frames["benchmark"])}
+    make = {"paragraphs": lambda: paragraphs(frames["documents"]), "words": lambda: words(frames["documents"]), "grams20": lambda: grid20(frames["documents"]), "probes60": lambda: probes60(frames["benchmark"])}
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     for name in derived:

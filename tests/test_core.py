@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import random
 import zipfile
 
 import duckdb
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from marginalia import registry
-from marginalia.functions import folds, hashing, text
-from marginalia.operators import index, search, stateful
+from marginalia.functions import folds, hashing, matching, text
+from marginalia.operators import index, rules, search, stateful
 from marginalia.plans import views
 from marginalia.sources import documents as sources
 from marginalia.streaming import events as streaming
@@ -77,8 +78,8 @@ def test_packing_ranges_and_aliases(spark):
     assert [r.pack for r in stateful.packed_groups(rows, "k", "i", "n", 10).orderBy("i").collect()] == [0, 0, 1, 2, 3, 3]
     ranges = spark.createDataFrame([(1, 0, 10), (1, 12, 20), (1, 30, 40), (1, 41, 90)], "k long, a long, b long")
     assert [(r.start, r.end, r.n) for r in stateful.coalesced_ranges(ranges, "k", "a", "b", 5, 60).orderBy("start").collect()] == [(0, 20, 2), (30, 90, 2)]
-    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "alias string, target string")
-    assert {r.alias: r.target for r in stateful.resolved_aliases(chain).collect()} == {"a": "c", "b": "c", "x": None, "y": None}
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "alias string, target string")
+    assert {r.alias: r.target for r in stateful.resolved_aliases(chain).collect()} == {"a": "c", "b": "c", "x": "y"}
 
 
 def test_reconcile_by_identity_then_path(spark):
@@ -136,3 +137,86 @@ def test_oracles(spark, name):
     names = [d[0] for d in sql.description]
     norm = lambda r: tuple(str(round(v, 6) if isinstance(v, float) else v) for v in r)
     assert sorted(map(norm, got.select(*names).collect())) == sorted(map(norm, sql.fetchall()))
+
+
+def test_folds_with_offsets_equal_the_fold(spark):
+    texts = ["إِنَّمَا ( ٤ ) الأَعْمَالُ ﴿٣﴾ （5）x", "İstanbul ΟΔΟΣ", "a—b [12] c", "", "١٢٣ [45] x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", folds.search_fold(F.col("t")).alias("plain"), matching.folded_with_offsets("t").alias("f"))
+    for r in df.collect():
+        assert r.f.folded == r.plain and len(r.f.offsets) == len(r.plain)
+        assert all(r.t[at].lower().translate(matching._FORMS)[0] == c or len(r.t[at].lower()) > 1 for c, at in zip(r.plain, r.f.offsets, strict=True) if c != " ")
+    assert [r.plain for r in df.collect()][0] == "انما الاعمال x"
+
+
+def test_reference_literals_of_folds_and_terms(spark):
+    one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c(F.col("t")).alias("x")).first().x
+    assert one(folds.link_fold, "أَحْمَدُ<b>ى</b>") == "احمدي"
+    assert one(folds.facet_fold, "مكّة، المُكَرَّمة") == "مكه المكرمه"
+    assert one(folds.aligner_fold, "أُمَّةٌ، وسطى!") == "امه وسطي"
+    assert one(folds.base_title, "الكتاب - ط دار العلم") == "الكتاب" and one(folds.base_title, "كتاب - العلم") == "كتاب - العلم"
+    assert one(lambda c: text.derive_term(c, "root"), "نور") == "نور" and one(lambda c: text.derive_term(c, "exact"), "  a b ") == "a b"
+    assert one(lambda c: hashing.bucket(c, 512), "x").isdigit() and len(one(lambda c: hashing.bucket(c, 512), "x")) == 4
+
+
+def test_bloom_bits_by_hand(spark):
+    def bits(key, count):
+        a, b = 2166136261, 0x9E3779B9
+        for ch in key:
+            a = (a ^ ord(ch)) * 16777619 % 2**32
+            b = (b ^ ord(ch)) * 0x85EBCA6B % 2**32
+            b ^= b >> 13
+        return [(a + i * (b | 1)) % 2**32 % count for i in range(10)]
+
+    df = spark.createDataFrame([("7", 3), ("longer:id", 123456)], "id string, at long")
+    got = df.select("id", "at", hashing.bloom_positions(8008)("id", "at").alias("b")).collect()
+    assert all(r.b == bits(f"{r.id}:{r['at']}", 8008) for r in got)
+    at = spark.range(500).selectExpr("'w' as word", "id as doc_id", "id * 3 as pos")
+    filters = hashing.bloom_filters(at)
+    asked = at.union(spark.range(500).selectExpr("'w'", "id", "id * 3 + 1"))
+    may = hashing.bloom_members(filters, asked).collect()
+    assert all(r.may for r in may if r.pos % 3 == 0) and sum(r.may for r in may if r.pos % 3 == 1) < 25
+
+
+def test_verse_ranking_and_exclusions(spark):
+    df = spark.createDataFrame([("1:1", "بسم الله"), ("1:2", "الله"), ("1:3", "(b"), ("1:4", "هٰذا")], "id string, text string")
+    got = {r.id: r.score for r in search.verse_ranking(df, "الله").collect()}
+    assert got == {"1:1": 92, "1:2": 100}
+    assert [r.id for r in search.verse_ranking(df, "(b").collect()] == ["1:3"] and search.verse_ranking(df, "b").count() == 0
+    assert [r.id for r in search.verse_ranking(df, "هاذا").collect()] == ["1:4"]  # the small alef read as alef
+    assert search.parse_query('x -WITH -with').excluded == ("with",)
+
+
+def test_rules_that_are_errors(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 12)], "alias long, target long")
+    assert {r.alias: r.target for r in stateful.resolved_aliases(chain.where("alias > 4")).collect()}[5] == 12
+    with pytest.raises(Exception, match="alias hop limit"):
+        stateful.resolved_aliases(chain).collect()
+    with pytest.raises(Exception, match="alias cycle"):
+        stateful.resolved_aliases(spark.createDataFrame([(1, 2), (2, 1)], "alias long, target long")).collect()
+    work = spark.createDataFrame([(1, 5, "save", "d1")], "operation_id long, book_id long, kind string, digest string")
+    assert rules.enqueue_decisions(work, work).first().decision == "replay"
+    with pytest.raises(Exception, match="reused for different work"):
+        rules.enqueue_decisions(work, work.withColumn("digest", F.lit("d2"))).collect()
+    marks = iter([1, 2])
+    with pytest.raises(RuntimeError, match="changed"):
+        rules.fenced(lambda: work, lambda: spark.range(next(marks)).groupBy().count())
+    with pytest.raises(Exception, match="outside the managed root"):
+        spark.createDataFrame([("a/../b",)], "p string").select(rules.logical_path(F.col("p"))).collect()
+    kept = spark.createDataFrame([("modified", "a\\~$x.docx", None), ("renamed", "b.docx", "b.tmp")], "kind string, path string, previous_path string")
+    assert [tuple(r) for r in rules.source_events(kept).collect()] == [("move", "b.docx", "b.tmp")]
+
+
+def test_page_alignment_finds_page_beginnings(spark):
+    rng = random.Random(2)
+    lines = [" ".join(f"كلمة{rng.randrange(5000)}" for _ in range(30)) for _ in range(60)]
+    pages = [(1, p, " ".join(lines[p * 6 : p * 6 + 6]) if p != 4 else "") for p in range(10)]
+    got = rules.aligned_pages(spark.createDataFrame(pages, "book long, page long, text string"), spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "book long, ordinal long, text string")).collect()
+    assert {r.page: r.paragraph for r in got} == {p: p * 6 if p != 4 else None for p in range(10)}
+
+
+def test_clean_text_and_footnotes(spark):
+    df = spark.createDataFrame([("a&lt;hr&gt;b <a href=inr://man-12>زيد</a> ¬ (٣ ) x ،",)], "t string")
+    r = df.select(matching.clean_search(F.col("t")).alias("t"), matching.narrator_ids(F.col("t")).alias("ids")).first()
+    assert r.ids == ["12"] and r.t.startswith("a\nb زيد") and "(٣)" in r.t and r.t.endswith("x،")
+    notes = spark.createDataFrame([("متن (١)\n____\n(١) حاشية",), ("متن\n(١) أ\n(٢) ب",), ("متن (١)",)], "t string").select(matching.body_and_notes(F.col("t")).alias("x")).collect()
+    assert notes[0].x.body == "متن (١)" and notes[1].x.notes == "(١) أ\n(٢) ب" and notes[2].x.notes is None
