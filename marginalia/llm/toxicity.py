@@ -224,6 +224,7 @@ def fit_labels(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
         own = json.dumps([[d.tolist(), x] for d, x in zip(apart, [x for x, m in zip(toxic, mine, strict=True) if m], strict=True)])
         return pa.table({"fold": pa.array([fold], pa.int32()), "toxic": pa.array([dictionaries[0]], pa.binary()), "ordinary": pa.array([dictionaries[1]], pa.binary()), "apart": pa.array([own])})
 
+    dealt = dealt.repartition(4 * (folds + 1), "fold")  # a task for each fold; Spark would put so few bytes into one
     got = sorted(dealt.groupBy("fold").applyInArrow(run, "fold int, toxic binary, ordinary binary, apart string").collect(), key=lambda r: r.fold)
     if not got or not got[-1].toxic:
         return None

@@ -5,11 +5,13 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import decontamination, html_text, jaccard, kneser_ney, media, mixing, passages, secrets, tokens, toxicity
 from marginalia.llm.components import components
@@ -457,6 +459,27 @@ def test_toxicity_marks_of_a_rare_language():
     assert max(score("zwiebelkuchen") for _ in range(20)) < 0.5
 
 
+def test_toxicity_fitted_in_spark_equals_brute_force(spark):
+    """The model from tables is the one from lists; repeated ids count once, an empty table gives an empty result."""
+    rng = random.Random(14)
+    make = lambda bad: prose(rng, 40) + (f" {rng.choice(['horrible', 'vermin'])} " if bad else " ") + prose(rng, 20)
+    flags = [int(rng.random() < 0.3) for _ in range(200)]
+    rows = [(i, make(y), "x", "y", "s") for i, y in enumerate(flags)]
+    docs = spark.createDataFrame([*rows, rows[3], (None, None, "x", "y", "s")], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(flags)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_labels(docs, labels)
+    seen = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    order = {r.doc_id: n for n, r in enumerate(spark.createDataFrame([(i,) for i in seen], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect())}
+    ranked = sorted(seen, key=order.get)
+    both = toxicity.train_dictionaries([rows[i][1] for i in ranked], [flags[i] for i in ranked])
+    assert (model.toxic, model.ordinary) == both
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs, model).collect()}
+    assert sum(got[i] == flags[i] for i in range(200) if i not in set(seen)) >= 0.95 * (200 - len(seen))
+    kept = toxicity.kept_clean(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, p in got.items() if not p}
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
 def test_toxicity_without_labels(spark, corpus):
     docs = frame(spark, corpus)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
