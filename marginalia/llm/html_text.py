@@ -38,7 +38,7 @@ PAGES, SHARE, MANY = 4, 0.2, 10
 #: Prose inside an article or main part goes if it occurs in MANY different pages and in this share of them.
 MOST = 0.5
 #: The table of blocks to delete is broadcast up to so many bytes on disk, and joined by a shuffle beyond.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
@@ -227,7 +227,8 @@ def blocks_of(html: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, i
 _ROW = "page_id long, url string, host string, page_key long, texts array<string>, declared array<boolean>, trees array<struct<h long, a int, b int, inside boolean>>"
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
+def _parsed(pages: DataFrame, lists: bool) -> DataFrame:
+    """A row for each page. lists: declared blocks go anyway, so their text is not carried along."""
     kind = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("inside", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
             got = [blocks_of(h or "") for h in b.column(2).to_pylist()]
             hosts = [host_of(u) for u in b.column(1).to_pylist()]
             trees = [[dict(zip(("h", "a", "b", "inside"), t, strict=True)) for t in x] for _, x, _ in got]
-            columns = [pa.array(hosts, pa.string()), pa.array([k for *_, k in got], pa.int64()), pa.array([[t for t, _ in x] for x, *_ in got], pa.list_(pa.string())), pa.array([[d for _, d in x] for x, *_ in got], pa.list_(pa.bool_())), pa.array(trees, kind)]
+            columns = [pa.array(hosts, pa.string()), pa.array([k for *_, k in got], pa.int64()), pa.array([[None if d and lists else t for t, d in x] for x, *_ in got], pa.list_(pa.string())), pa.array([[d for _, d in x] for x, *_ in got], pa.list_(pa.bool_())), pa.array(trees, kind)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["page_id", "url", "host", "page_key", "texts", "declared", "trees"])
 
     fields = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -269,10 +270,10 @@ def _cut(rows: DataFrame, lists: bool) -> DataFrame:
 def extracted(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE, lists: bool = True) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars, n_template, n_declared. lists: whether declared blocks go."""
     prepare(pages.sparkSession)
-    parsed = written(_parsed(pages).withColumn("row", F.monotonically_increasing_id()), "blocks")
-    under = parsed.select("host", "page_key", "row", F.explode("trees").alias("t")).select("host", "page_key", "row", "t.h", "t.a", "t.b", "t.inside")
+    parsed = written(_parsed(pages, lists).withColumn("row", F.monotonically_increasing_id()), "blocks")
+    under = parsed.select(F.xxhash64("host").alias("host"), "page_key", "row", F.explode("trees").alias("t")).select("host", "page_key", "row", "t.h", "t.a", "t.b", "t.inside")
     times = under.select("host", "page_key", "inside", "h").distinct().groupBy("host", "inside", "h").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inside"), MANY).otherwise(least_pages))
-    sizes = written(parsed.select("host", "page_key").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
+    sizes = written(parsed.select(F.xxhash64("host").alias("host"), "page_key").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages), "hosts")
     recurs = F.when(F.col("inside"), F.col("n") >= MOST * F.col("pages")).otherwise((F.col("n") >= share * F.col("pages")) | (F.col("n") >= MANY))
     templates = times.join(sizes, "host").where(recurs).select("host", "inside", "h")
     gone = written(under.join(templates, ["host", "inside", "h"]).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("gone")), "gone")
