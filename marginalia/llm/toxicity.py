@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, extended, prepare
+from .common import WORD, crc_mod, extended, prepare, shingles_of, words_of
 
 #: Labelled rows, and characters of them, that the model is fitted on, at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 32_000_000
@@ -40,7 +40,7 @@ GRAMS, MARKED, OFTENER = (5, 6, 7, 8), 20.0, 6
 #: Different toxic texts that such a string occurs in at least: copies of a few texts mark nothing.
 COMMON_TEXTS = 8
 #: Bytes of the dictionaries, and zstandard's segment and string lengths for training them.
-ORDINARY_SIZE, TOXIC_SIZE, ORDINARY_SEGMENT, TOXIC_SEGMENT, TRAINED = 32_768, 4_096, 64, 32, 6
+ORDINARY_SIZE, TOXIC_SIZE, ORDINARY_SEGMENT, TOXIC_SEGMENT, TRAINED = 32_768, 16_384, 64, 32, 6
 FOLDS = 4
 _TO_LOWER = {i: i + 32 for i in range(65, 91)}
 _WINDOW = re.compile(r"\S(?:.{%d}\S*|.+)" % WINDOW, re.S)
@@ -104,6 +104,20 @@ def _surprise(a: np.ndarray, b: np.ndarray, n0: int, n1: int) -> np.ndarray:
     return out
 
 
+def unlike(texts: list[str]) -> list[str]:
+    """The texts, in order, without those half of whose runs of five words earlier ones hold: copies, near copies and
+    repeated passages of a few texts are no evidence. One run in four is looked at."""
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        grams = shingles_of(*words_of(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), WORD), 5)[0]
+        own = set(grams[grams & np.uint64(3) == 0].tolist())
+        if len(own & seen) * 2 < len(own) or not own:
+            out.append(text)
+            seen |= own
+    return out
+
+
 def own_stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """The stretches of the toxic texts that are covered by byte strings of toxic text's own."""
     covered = [np.zeros(len(t), bool) for t in toxic]
@@ -141,8 +155,8 @@ def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
 
 
 def train_dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes] | None:
-    """Raw-content dictionaries (toxic, ordinary) of equal length; None where toxic text has nothing of its own. Copies count once."""
-    apart = [[t for t in dict.fromkeys(t for t, label in zip(texts, toxic, strict=True) if label == c) if t] for c in (0, 1)]
+    """Raw-content dictionaries (toxic, ordinary) of equal length; None where toxic text has nothing of its own. Copies and near copies count once."""
+    apart = [unlike([t for t in dict.fromkeys(t for t, label in zip(texts, toxic, strict=True) if label == c) if t]) for c in (0, 1)]
     if not all(apart):
         return None
     ordinary, of_toxic = ([t.translate(_TO_LOWER).encode() for t in c] for c in apart)
