@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions.text import grams
 
@@ -31,6 +32,15 @@ def gram_buckets(word: Column, count: int = 512) -> Column:
     return F.array_distinct(F.transform(grams(word), lambda g: fnv1a(g) % count))
 
 
+def chosen_partitions(terms: DataFrame, sizes: DataFrame, count: int = 512, most: int = 16) -> DataFrame:
+    """(bucket): for each term its smallest bucket of sizes (bucket, bytes), ties to the term's earlier trigram; none if a
+    term has under three characters or more than `most` buckets are met: then the whole dictionary is read."""
+    each = terms.select("term", F.posexplode_outer(gram_buckets(F.col("term"), count)).alias("at", "bucket")).join(sizes, "bucket", "left")
+    best = each.groupBy("term").agg(F.min_by("bucket", F.struct(F.coalesce("bytes", F.lit(0)), "at")).alias("bucket"))
+    whole = best.agg(F.count_if(F.col("bucket").isNull()).alias("short"), F.count_distinct("bucket").alias("n"))
+    return best.select("bucket").distinct().join(F.broadcast(whole), (F.col("short") == 0) & (F.col("n") <= most), "left_semi")
+
+
 #: Fixed values of the second hash, bits for each position and probes.
 SECOND_SEED, SECOND_PRIME, BITS_EACH, PROBES = 0x9E3779B9, 0x85EBCA6B, 16, 10
 
@@ -91,3 +101,53 @@ def bloom_members(filters: DataFrame, asked: DataFrame) -> DataFrame:
 def canonical_hash(columns: list[str]) -> Column:
     """Hash of a row as JSON with sorted keys."""
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
+
+
+def delta_bytes(ids: list[int]) -> bytes:
+    """Ascending ids as gaps of seven bits a byte, the low ones first; the high bit says that more follow."""
+    out, before = bytearray(), 0
+    for i in ids:
+        gap, before = int(i) - before, int(i)
+        while gap > 127:
+            out.append(gap & 127 | 128)
+            gap >>= 7
+        out.append(gap)
+    return bytes(out)
+
+
+def delta_ids(data: bytes, count: int, rows: int) -> list[int]:
+    """The inverse. Ids that do not ascend, reach `rows`, end early or are not `count` are an error."""
+    b = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(b < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, int)
+    if len(ends) != count or (len(b) and b[-1] > 127) or (ends - starts >= 8).any():
+        raise ValueError("posting does not decode to its count")
+    if not count:
+        return []
+    shift = np.arange(len(b)) - np.repeat(starts, ends - starts + 1)
+    ids = np.cumsum(np.add.reduceat((b & 127).astype(np.int64) << (7 * shift), starts))
+    if (np.diff(ids) <= 0).any() or ids[-1] >= rows:
+        raise ValueError("posting ids out of order or range")
+    return ids.tolist()
+
+
+@F.pandas_udf(T.BinaryType())
+def delta_encoded(ids: pd.Series) -> pd.Series:
+    return ids.map(delta_bytes)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def delta_decoded(data: pd.Series, count: pd.Series, rows: pd.Series) -> pd.Series:
+    return pd.Series([delta_ids(d, c, r) for d, c, r in zip(data, count, rows, strict=True)])
+
+
+def posting_blocks(postings: DataFrame, key: str, doc: str, block: int = 65536) -> DataFrame:
+    """(key, block, n, data): distinct documents of a key, encoded by blocks of ids, so that no posting outgrows a row."""
+    at = postings.select(key, F.floor(F.col(doc) / block).alias("block"), (F.col(doc) % block).alias("_id"))
+    return at.groupBy(key, "block").agg(F.array_sort(F.collect_set("_id")).alias("ids")).select(key, "block", F.size("ids").alias("n"), delta_encoded("ids").alias("data"))
+
+
+def posting_rows(blocks: DataFrame, key: str, doc: str, block: int = 65536) -> DataFrame:
+    """(key, doc): the inverse."""
+    ids = F.explode(delta_decoded("data", "n", F.lit(block)))
+    return blocks.select(key, "block", ids.alias("_id")).select(key, (F.col("block") * block + F.col("_id")).alias(doc))

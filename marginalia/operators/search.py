@@ -142,3 +142,14 @@ def as_of(rows: DataFrame, marks: DataFrame, by: list[str], at: str, value: str)
     both = rows.withColumn(value, F.lit(None).cast(marks.schema[value].dataType)).withColumn("_mark", F.lit(1)).unionByName(marks.select(*by, at, value).withColumn("_mark", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy(at, "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn(value, F.last(value, True).over(w)).where("_mark = 1").drop("_mark")
+
+
+def routed_phrase(docs: DataFrame, words: DataFrame, phrase: str, folded_column: str = "folded") -> DataFrame:
+    """Documents whose folded text holds the phrase: from four words on only those are read that have its two longest words."""
+    asked = phrase.split(" ")
+    held = F.contains(F.col(folded_column), F.lit(phrase))
+    if len(asked) < 4:
+        return docs.where(held)
+    routes = sorted(dict.fromkeys(asked), key=len, reverse=True)[:2]
+    both = words.where(F.col("word").isin(*routes)).groupBy("doc_id").agg(F.count_distinct("word").alias("n")).where(F.col("n") == len(routes))
+    return docs.join(both.select("doc_id"), "doc_id", "left_semi").where(held)

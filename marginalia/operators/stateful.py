@@ -29,6 +29,27 @@ def packed_groups(df: DataFrame, by: str, order: str, size: str, most: int) -> D
     return df.select(by, order, F.col(size).cast("long").alias(size)).groupBy(by).applyInPandas(run, schema)
 
 
+def staged_batches(df: DataFrame, by: str, order: str, size: str, rows: int = 100, most: int = 900_000, stage_rows: int = 1000, stage_bytes: int = 8_000_000) -> DataFrame:
+    """(by, order, size, stage, batch): rows in order in batches of so many rows and bytes (a separator each, two brackets), an
+    oversized row alone; a stage, after which a cursor is kept, ends once it has its rows or bytes. Batches count within a stage."""
+    schema = f"{by} {df.schema[by].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, {size} long, stage int, batch int"
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order, kind="stable")
+        stage, batch, n, held, staged, staged_bytes = 0, 0, 0, 2, 0, 0
+        out: list[tuple[int, int]] = []
+        for own in p[size].fillna(0) + 1:
+            if n and (n >= rows or held + own > most or staged + n >= stage_rows):
+                staged, staged_bytes, batch, n, held = staged + n, staged_bytes + held, batch + 1, 0, 2
+            if not n and (staged >= stage_rows or staged_bytes >= stage_bytes):
+                stage, batch, staged, staged_bytes = stage + 1, 0, 0, 0
+            n, held = n + 1, held + own
+            out.append((stage, batch))
+        return p.assign(stage=pd.array([s for s, _ in out], "int32"), batch=pd.array([b for _, b in out], "int32"))
+
+    return df.select(by, order, F.col(size).cast("long").alias(size)).groupBy(by).applyInPandas(run, schema)
+
+
 def coalesced_ranges(df: DataFrame, by: str, start: str, end: str, gap: int, longest: int) -> DataFrame:
     """(by, start, end, n): ranges of a key merged while the gap and the merged length stay within bounds."""
     schema = f"{by} {df.schema[by].dataType.simpleString()}, start long, end long, n int"
