@@ -6,10 +6,16 @@ cleaning is a chain of native expressions.
 
 from __future__ import annotations
 
+import functools
 import os.path
 import re
+import sys
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +26,15 @@ from marginalia.functions.folds import MARKS, NOTE_CLOSE, NOTE_DIGITS, NOTE_OPEN
 _PIECES = regex.compile(rf"(?P<note>[{NOTE_OPEN}]\s*[{NOTE_DIGITS}]+\s*[{NOTE_CLOSE}])|(?P<mark>[{MARKS}{TATWEEL}]+)|(?P<word>[\p{{L}}\p{{N}}]+)|(?P<other>.)", regex.S)
 _FORMS = str.maketrans("أإآٱى", "ااااي")
 _NUMBER = re.compile(rf"[{NOTE_DIGITS}]+")
+_NOTE, _MARK, _WORD = (regex.compile(p) for p in (rf"[{NOTE_OPEN}]\s*[{NOTE_DIGITS}]+\s*[{NOTE_CLOSE}]", rf"[{MARKS}{TATWEEL}]+", r"[\p{L}\p{N}]+"))
+#: UTF-8 bytes of text that are folded with offsets at a time; one text longer than that stands alone.
+SLICE_BYTES = 1 << 18
+
+
+@functools.lru_cache(4096)
+def _letter(c: str) -> str:
+    """The fold of a letter or number; nothing for marks that are letters too."""
+    return "" if _MARK.match(c) else c.lower().translate(_FORMS)
 
 
 def fold_with_offsets(text: str | None) -> tuple[str, list[int]]:
@@ -39,7 +54,7 @@ def fold_with_offsets(text: str | None) -> tuple[str, list[int]]:
             at.append(m.start())
             apart = False
         for i, c in enumerate(m[0], m.start()):
-            low = c.lower().translate(_FORMS)
+            low = _letter(c)
             out.append(low)
             at += [i] * len(low)
     return "".join(out), at
@@ -99,9 +114,76 @@ def phrase_places(text: str | None, query: str) -> list[int]:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("folded", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]))
-def folded_with_offsets(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([fold_with_offsets(t) for t in text], columns=["folded", "offsets"])
+@functools.cache
+def _points() -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    """By code point: 2 for a letter or number, 1 for a mark, else 0; its fold; and the folds of more than one character, by code point."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    kind = np.zeros(len(every), np.uint8)
+    for pattern, value in ((_WORD, 2), (_MARK, 1)):
+        for m in pattern.finditer(every):
+            kind[m.start() : m.end()] = value
+    low, longer = np.zeros(len(every), np.uint32), {}
+    for i in np.flatnonzero(kind == 2).tolist():
+        c = every[i].lower().translate(_FORMS)
+        if len(c) == 1:
+            low[i] = ord(c)
+        else:
+            longer[i] = c
+    return kind, low, longer
+
+
+def _folded_slice(texts: list[str | None]) -> pa.StructArray:
+    kind, low, longer = _points()
+    texts = [t or "" for t in texts]
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    joined = "\0".join(texts)  # no note reaches over this sign
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kinds = kind[points]
+    for m in _NOTE.finditer(joined):
+        kinds[m.start() : m.end()] = 0
+    seen = np.flatnonzero(kinds != 1).astype(np.int32)
+    word = kinds[seen] == 2
+    at = seen[word]
+    del kinds, seen
+    first = np.searchsorted(at, starts)
+    apart = np.concatenate([[False], ~word[:-1]])[word] if len(word) else word
+    apart[first[:-1][np.diff(first) > 0]] = False
+    # What a letter gives is a space where it begins a further word, and its fold.
+    letters = points[at]
+    size = 1 + apart.astype(np.uint8)
+    long = [(i, longer[int(letters[i])]) for i in np.flatnonzero(np.isin(letters, list(longer))).tolist()]
+    for i, c in long:
+        size[i] += len(c) - 1
+    ends = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=ends[1:])
+    out = np.full(ends[-1], ord(" "), np.uint32)
+    out[ends[1:] - 1] = low[letters]
+    for i, c in long:
+        out[ends[i + 1] - len(c) : ends[i + 1]] = [ord(x) for x in c]
+    bounds = ends[first]
+    del points, letters, ends
+    at -= np.repeat(starts[:-1].astype(np.int32), np.diff(first))
+    origin = np.repeat(at, size)
+    octets = np.zeros(len(out) + 1, np.int32)
+    np.cumsum(1 + (out > 0x7F).astype(np.uint8) + (out > 0x7FF) + (out > 0xFFFF), out=octets[1:])
+    folded = pa.StringArray.from_buffers(len(texts), pa.py_buffer(octets[bounds]), pa.py_buffer(str(memoryview(out), "utf-32-le").encode()))
+    return pa.StructArray.from_arrays([folded, pa.ListArray.from_arrays(pa.array(bounds), pa.array(origin))], ["folded", "offsets"])
+
+
+def folded_slices(texts: pa.Array) -> Iterator[pa.StructArray]:
+    """fold_with_offsets of all texts in order, as arrays of few texts each: offsets take many times a text's own memory."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        yield _folded_slice(texts[a:b].to_pylist())
+        a = b
+
+
+@F.arrow_udf(T.StructType([T.StructField("folded", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]))
+def folded_with_offsets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield from folded_slices(texts)
 
 
 def match_ranges(text: Column, query: str) -> Column:

@@ -3,9 +3,11 @@
 import datetime as dt
 import io
 import random
+import tracemalloc
 import zipfile
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,43 @@ def test_folds_with_offsets_equal_the_fold(spark):
     assert [r.plain for r in df.collect()][0] == "انما الاعمال x"
 
 
+def test_folds_with_offsets_of_many_texts_take_little_memory():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(("Word", "مَدْرَسَةٌ", "[12]", "x.y")) for _ in range(400)) for _ in range(3000)]
+    batch = pa.array(texts)
+    matching.fold_with_offsets(""), next(matching.folded_with_offsets.func(iter([batch[:1]])))
+    tracemalloc.start()
+    n = sum(len(part) for part in matching.folded_with_offsets.func(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and batch.nbytes > 5e6 and peak < 2 * batch.nbytes
+
+
+def test_folds_with_offsets_in_slices(monkeypatch):
+    rng = random.Random(8)
+    signs = "abZ İΣσς()[﴿﴾0٣۴  \n\t\0—.ـًۖۥأآىةؤ𝐀😀é①ǅß"
+    texts = [None, "", "\0", "(", "1", ")", "[12", "] a", *("".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)), "ab [1] " * 200, None]
+    monkeypatch.setattr(matching, "SLICE_BYTES", 256)
+    parts = list(matching.folded_slices(pa.array(texts).slice(1)))
+    for part in parts:
+        part.validate(full=True)
+    assert [(r["folded"], r["offsets"]) for part in parts for r in part.to_pylist()] == [matching.fold_with_offsets(t) for t in texts[1:]]
+    assert len(parts) > 100 and not list(matching.folded_slices(pa.array([], pa.string())))
+
+
+def test_folds_with_offsets_drop_marks_inside_words(spark):
+    texts = ["الـه", "aۥb ـ c", "ـ(١)ـx", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(folds.search_fold(F.col("t")).alias("plain"), matching.folded_with_offsets("t").alias("f"))
+    assert [(r.f.folded, r.f.offsets) for r in df.collect()] == [("اله", [0, 1, 3]), ("ab c", [0, 2, 6, 6]), ("x", [5]), ("", [])]
+    assert [r.plain or "" for r in df.collect()] == [r.f.folded for r in df.collect()]
+    assert matching.ranges_of("قال الـه", "اله") == [(4, 8)]
+
+
+def test_fold_offsets_query_has_the_folds_of_the_search_fold(spark):
+    got = {r.id: (r.fold, r.n) for r in registry.QUERIES["txt_2_fold_offsets"](spark, SF).collect()}
+    assert got == {r.id: (r.fold, r.n) for r in registry.QUERIES["txt_1_search_fold"](spark, SF).collect()}
+
+
 def test_reference_literals_of_folds_and_terms(spark):
     one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c(F.col("t")).alias("x")).first().x
     assert one(folds.link_fold, "أَحْمَدُ<b>ى</b>") == "احمدي"
